@@ -15,7 +15,7 @@ from foldwise.operators import align as A
 from foldwise.operators import calendar as C
 from foldwise.operators import drivers as D
 from foldwise.operators import returns as R
-from foldwise.session import checkpoint_dir
+from foldwise.session import checkpoint_dir, materialize
 from foldwise.sources import panels as P
 
 # ---------------------------------------------------------------- sources
@@ -99,7 +99,7 @@ def panel_sink(spark, sf):
 
 
 def brand_events(spark, sf):
-    return R.price_events(R.synchronous_pairs(I.px_brand_w(spark, sf)), I.event_ledger(spark))
+    return R.price_events(R.synchronous_pairs(materialize(I.px_brand_w(spark, sf))), I.event_ledger(spark))
 
 
 def brand_assets(spark, sf):
@@ -275,7 +275,7 @@ CASE WHEN regexp_matches(label, '^Generic 1st .* Future$') THEN 'generic_future'
  WHEN label LIKE '%X-RATE%' OR label LIKE '%Peso Spot%' THEN 'foreign_exchange'
  WHEN label = 'DOLLAR INDEX SPOT' THEN 'currency_index'
  WHEN label LIKE '%INDEX%' OR label IN ('MSCI INDIA', 'NIKKEI 225', 'S&P/BMV IPC') THEN 'equity_index'
- WHEN label LIKE '%Commodity%' OR label LIKE '%LME %' THEN 'commodity'
+ WHEN label LIKE '%Commodity%' OR label LIKE '%Gold Spot%' OR label LIKE '%LME %' THEN 'commodity'
  ELSE 'bond_or_credit_index' END"""
 TRANSFORM_SQL = (
     "CASE WHEN economic_class IN ('macro_release', 'discontinued_or_truncated_market_series') THEN 'EXCLUDE' "

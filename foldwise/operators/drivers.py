@@ -163,7 +163,8 @@ def carry_to_target(levels: DataFrame, target: DataFrame, carry: int = 3, sentin
     stop = F.least(F.col("pos") + carry, F.coalesce(F.lead("pos").over(w) - 1, F.col("pos") + carry))
     spread = (
         marked.filter(F.col("value").isNotNull())
-        .withColumn("upos", F.explode(F.sequence("pos", stop)))
+        .withColumn("stop", stop)
+        .withColumn("upos", F.explode(F.sequence("pos", "stop")))
         .select("panel_id", "series", "upos", "value")
     )
     blocked = marked.filter("is_sentinel").select("panel_id", "series", F.col("pos").alias("upos"))

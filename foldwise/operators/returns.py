@@ -121,6 +121,7 @@ def price_events(
     led = ledger.select("panel_id", F.col("date").alias("dt"), F.col("ticker").alias("series"), *LEDGER_COLUMNS[2:])
     disposition, factor, ratio = F.col("disposition"), F.col("factor"), F.col("ratio")
     large = F.abs("raw_log") >= candidate_log
+    by_date = Window.partitionBy(*KEY)  # as in the synchronous count: no further shuffle
     split = F.when(large, nearest_split(ratio))
     ledgered = disposition.isNotNull()
     accepted = large & ~ledgered & (F.col("near.relative_error") <= split_tolerance)
@@ -152,6 +153,11 @@ def price_events(
             F.when(F.col("rule_status").isNotNull() & ~ledgered, "MECHANICAL_RULE_ONLY").otherwise(F.col("verification_status")),
         )
         .drop("near")
+        .withColumn("date_excluded", F.max(F.coalesce(F.col("rule_status") == EXCLUDED, F.lit(False))).over(by_date))
+        .withColumn(
+            "date_touched",
+            F.max(F.coalesce(F.col("rule_status").isin(VERIFIED, MECHANICAL, EXCLUDED), F.lit(False))).over(by_date),
+        )
     )
 
 
@@ -167,35 +173,27 @@ def event_audit(events: DataFrame) -> DataFrame:
     )
 
 
-def excluded_dates(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("rule_status") == EXCLUDED).select(*KEY).distinct()
-
-
-def drop_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
-    return rows.join(dates, KEY, "left_anti")
-
-
 def adjusted_returns(events: DataFrame) -> DataFrame:
-    return drop_dates(events, excluded_dates(events)).select(
-        "panel_id", "dt", "series", F.col("adjusted_log_return").alias("value")
-    )
+    """Repaired returns; a verified distribution removes its whole date."""
+    return events.filter("NOT date_excluded").select("panel_id", "dt", "series", F.col("adjusted_log_return").alias("value"))
 
 
 def unresolved_moves(events: DataFrame, limit: float = 0.40) -> DataFrame:
     """Large moves left after repair and exclusion that no ledger row explains."""
-    left = drop_dates(
-        events.filter(F.col("disposition").isNull() & (F.abs("adjusted_log_return") > limit)), excluded_dates(events)
-    )
-    return left.select(
+    open_moves = F.col("disposition").isNull() & (F.abs("adjusted_log_return") > limit) & ~F.col("date_excluded")
+    return events.filter(open_moves).select(
         "panel_id", F.col("dt").alias("date"), F.col("series").alias("ticker"), "adjusted_log_return",
         F.expm1("adjusted_log_return").alias("adjusted_simple_return"), F.lit("REVIEW_REQUIRED").alias("status"),
     )
 
 
+def drop_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    return rows.join(dates, KEY, "left_anti")
+
+
 def without_event_days(events: DataFrame) -> DataFrame:
     """Sensitivity panel: every date with an adjusted or excluded event removed."""
-    touched = events.filter(F.col("rule_status").isin(VERIFIED, MECHANICAL, EXCLUDED)).select(*KEY).distinct()
-    return drop_dates(events, touched).select("panel_id", "dt", "series", F.col("adjusted_log_return").alias("value"))
+    return events.filter("NOT date_touched").select("panel_id", "dt", "series", F.col("adjusted_log_return").alias("value"))
 
 
 def construction_report(prices: DataFrame, events: DataFrame) -> DataFrame:
@@ -209,21 +207,22 @@ def construction_report(prices: DataFrame, events: DataFrame) -> DataFrame:
         "unmatched_large_candidates": UNMATCHED,
         "verified_market_moves_retained": RETAINED,
     }
+    kept = ~F.col("date_excluded")
+    open_move = kept & F.col("disposition").isNull() & (F.abs("adjusted_log_return") > 0.40)
+    kept_date = F.when(kept, F.col("dt"))
     counts = events.groupBy("panel_id").agg(
         F.countDistinct("dt").alias("synchronous_rows"),
         F.count_if(F.col("is_candidate")).alias("automatic_large_move_candidates"),
         F.count("rule_status").alias("event_audit_rows"),
         *[F.count_if(F.col("rule_status") == s).alias(n) for n, s in per_status.items()],
-        F.countDistinct(F.when(F.col("rule_status") == EXCLUDED, F.col("dt"))).alias("verified_distribution_dates_excluded"),
-    )
-    kept = drop_dates(events, excluded_dates(events)).groupBy("panel_id").agg(
-        F.countDistinct("dt").alias("retained_return_rows"),
-        F.min("dt").alias("first_return_date"),
-        F.max("dt").alias("last_return_date"),
-        F.count_if(F.col("disposition").isNull() & (F.abs("adjusted_log_return") > 0.40)).alias("unresolved_post_adjustment_moves"),
+        F.countDistinct(F.when(~kept, F.col("dt"))).alias("verified_distribution_dates_excluded"),
+        F.countDistinct(kept_date).alias("retained_return_rows"),
+        F.min(kept_date).alias("first_return_date"),
+        F.max(kept_date).alias("last_return_date"),
+        F.count_if(open_move).alias("unresolved_post_adjustment_moves"),
     )
     return (
-        source.join(counts, "panel_id").join(kept, "panel_id")
+        source.join(counts, "panel_id")
         .withColumn(
             "dropped_return_rows_due_to_missing_or_invalid_endpoint",
             F.col("source_rows_in_range") - 1 - F.col("synchronous_rows"),
