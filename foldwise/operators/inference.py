@@ -168,7 +168,7 @@ def sign_flip_one_sided(diffs: DataFrame, family, *, exact_limit: int = 18, draw
     rows = family_rows(diffs, family).select(*family, "n", F.explode("sets").alias("s"))
     rows = rows.select(*family, F.col("s.comparison").alias("comparison"), "n", F.col("s.x").alias("x"))
     exact = F.col("n") <= exact_limit
-    size = F.when(exact, F.shiftleft(F.lit(1).cast("long"), F.col("n").cast("int"))).otherwise(F.lit(draws).cast("long"))
+    size = F.when(exact, F.pow(F.lit(2.0), F.col("n")).cast("long")).otherwise(F.lit(draws).cast("long"))
     chunk = 4096
     spread = (
         rows.withColumn("patterns", size)
