@@ -2,7 +2,7 @@
 
 
 def load():
-    from catalog import construction, alignment, estimation, inference, portfolio  # noqa: F401
+    from catalog import construction, alignment, estimation, inference, portfolio, screening, quality  # noqa: F401
     from catalog.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

@@ -17,6 +17,7 @@ from foldwise.operators import folds as FD
 from foldwise.operators import moments as M
 from foldwise.operators import regress as RG
 from foldwise.operators import selection as S
+from foldwise.plans import screening as SC
 from foldwise.session import materialize
 
 SCREEN = FD.two_segment(104, 26)
@@ -42,9 +43,7 @@ def aligned_panels(spark, sf):
 
 def aligned_rows(spark, sf):
     """Assets and drivers stacked, numbered and positioned; and their index."""
-    panel = materialize(M.stack_roles(*aligned_panels(spark, sf)))
-    index = materialize(M.series_index(panel))
-    return materialize(M.indexed(panel, index)), index
+    return SC.prepare(*aligned_panels(spark, sf))
 
 
 cte(

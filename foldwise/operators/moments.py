@@ -48,6 +48,11 @@ def indexed(panel: DataFrame, index: DataFrame | None = None, cal_pos: DataFrame
     return panel.join(index, ["panel_id", "role", "series"]).join(cal_pos, KEY)
 
 
+def index_of(rows: DataFrame) -> DataFrame:
+    """The series index carried by indexed rows."""
+    return rows.select("panel_id", "role", "series", "idx", "n_series", "n_assets").distinct()
+
+
 def stack_roles(assets: DataFrame, drivers: DataFrame) -> DataFrame:
     a = assets.select("panel_id", "dt", F.lit("asset").alias("role"), "series", "value")
     return a.unionByName(drivers.select("panel_id", "dt", F.lit("driver").alias("role"), "series", "value"))

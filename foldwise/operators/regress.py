@@ -95,18 +95,15 @@ def residuals(y: DataFrame, z: DataFrame, betas: DataFrame, slots: int) -> DataF
 
 
 def frozen_residuals(y: DataFrame, features: DataFrame, slots: int, fit_segment: str, eval_segment: str) -> DataFrame:
-    """Fit on one segment, residuals on another.
+    """Fit on one segment, residuals on another, for the folds that have features.
 
-    Folds without any feature rows (nothing selected) keep their training mean
-    as the fit, so their residuals are the baseline ones.
+    Where nothing was selected the caller falls back on the baseline.
     """
     z = feature_columns(features, slots)
     on = lambda df, s: df.filter(F.col("segment") == s)
     y_fit, y_eval = on(y, fit_segment), on(y, eval_segment)
     z_fit, z_eval = on(z, fit_segment).drop("segment"), on(z, eval_segment).drop("segment")
-    modelled = residuals(y_eval, z_eval, fit_betas(y_fit, z_fit, slots), slots)
-    bare = y.join(features.select(*KEYS).distinct(), KEYS, "left_anti")
-    return modelled.unionByName(baseline_residuals(bare, fit_segment, eval_segment))
+    return residuals(y_eval, z_eval, fit_betas(y_fit, z_fit, slots), slots)
 
 
 def baseline_residuals(y: DataFrame, fit_segment: str, eval_segment: str) -> DataFrame:

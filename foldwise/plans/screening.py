@@ -11,13 +11,17 @@ from foldwise.operators.moments import KEYS
 from foldwise.session import materialize
 
 FLOOR = 1e-18  # variance floor of the rolling screening score
+UNCONDITIONED = {
+    "selection_selected": "selection_no_conditioning",
+    "certification_selected_frozen": "certification_no_conditioning",
+    "test_selected_frozen": "test_no_conditioning",
+}
 
 
 def prepare(assets: DataFrame, drivers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Numbered, positioned rows of both panels (kept on disk: read many times) and their index."""
-    panel = materialize(moments.stack_roles(assets, drivers))
-    index = materialize(moments.series_index(panel))
-    return materialize(moments.indexed(panel, index)), index
+    rows = materialize(moments.indexed(materialize(moments.stack_roles(assets, drivers))))
+    return rows, moments.index_of(rows)
 
 
 def split_roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +95,9 @@ def evaluate_representation(
     )
     after = metrics(e, FLOOR, spectrum)
     out = (
-        folds.fold_calendar(cal, design).join(prefixed("baseline", base, names), KEYS).join(prefixed("selected", after, names), KEYS)
+        folds.fold_calendar(cal, design).join(prefixed("baseline", base, names), KEYS)
+        .join(prefixed("selected", after, names), KEYS, "left")
+        .withColumns({f"selected_{c}": F.coalesce(f"selected_{c}", f"baseline_{c}") for c in names})
         .join(count, KEYS, "left")
         .withColumn("selected_count", F.coalesce("selected_count", F.lit(0)))
         .withColumn("selected_drivers", F.coalesce("selected_drivers", F.lit("")))
@@ -239,6 +245,14 @@ def screen_certify_test(
     if spectrum:
         wide = moments.window_spectrum(stacked, by).select(*by, "cov_offdiag_spectral")
         results = results.join(wide, by)
+    results = materialize(results)
+    # a fold that chose nothing is judged on its baseline
+    idle = state.filter(F.size("chosen") == 0).select(*KEYS)
+    frozen = {s: b for s, b in UNCONDITIONED.items() if s in stages}
+    names = F.explode(F.array(*[F.struct(F.lit(b).alias("stage"), F.lit(s).alias("as_stage")) for s, b in frozen.items()]))
+    alias = idle.select(*KEYS, names.alias("n")).select(*KEYS, "n.*")
+    same = results.join(alias, by).drop("stage").withColumnRenamed("as_stage", "stage")
+    results = results.unionByName(same.select(*results.columns))
     cal = rows.select(*KEY, "pos", "n_dates").distinct()
     pool = index.filter("role = 'driver'").groupBy("panel_id").agg(F.count(F.lit(1)).alias("driver_pool_count"))
     names = chosen.groupBy(*KEYS).agg(

@@ -1,8 +1,9 @@
-"""Session helpers: reliable checkpoints and a parallelism hint."""
+"""Session helpers: tables in the shared checkpoint folder and a parallelism hint."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (used before a table is read often)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write a table to the shared folder and read it back.
+
+    Used before a table is read several times or a loop goes on.  The files
+    outlive a lost executor, later reads prune columns, and their size tells
+    Catalyst whether a join side may be broadcast.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/foldwise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parallelism(df: DataFrame) -> int:
