@@ -544,8 +544,8 @@ def observable_betas(y, x):
 
 def structured_pair(spark, sf):
     y, x, rows, index = assigned(spark, sf)
-    cov = materialize(CV.assets_only(M.fold_covariance(rows, SCREEN), index))
-    return CV.structured(cov, observable_betas(y, x), 2), cov
+    cov = CV.assets_only(M.fold_covariance(rows, SCREEN), index)
+    return CV.structured(cov, observable_betas(y, x), 2)
 
 
 Q0_SQL = (
@@ -556,7 +556,7 @@ Q0_SQL = (
 
 @query("structured_q0", sql(with_("strcova", "obsb"), Q0_SQL, "", CELL, "v"))
 def structured_q0(spark, sf):
-    return structured_pair(spark, sf)[0].select("fold_id", "i", "j", "v")
+    return structured_pair(spark, sf).select("fold_id", "i", "j", "v")
 
 
 @query(
@@ -570,7 +570,7 @@ def structured_q0(spark, sf):
     ),
 )
 def structured_qfull(spark, sf):
-    return structured_pair(spark, sf)[1].select("fold_id", "i", "j", "v")
+    return structured_pair(spark, sf).select("fold_id", "i", "j", F.col("full").alias("v"))
 
 
 @query(
@@ -578,9 +578,9 @@ def structured_qfull(spark, sf):
     sql(with_("strcova", "obsb", q=Q0_SQL), "SELECT fold_id, i, j, 0.75 * v + 0.25 * full_v AS v FROM q", "", CELL, "v"),
 )
 def residual_aware_cov(spark, sf):
-    q0, full = structured_pair(spark, sf)
-    alpha = full.select(*M.KEYS).distinct().withColumn("alpha", F.lit(0.25))
-    return CV.blend(q0, full, alpha).select("fold_id", "i", "j", "v")
+    pair = structured_pair(spark, sf)
+    alpha = pair.select(*M.KEYS).distinct().withColumn("alpha", F.lit(0.25))
+    return CV.blend(pair, alpha).select("fold_id", "i", "j", "v")
 
 
 @query(

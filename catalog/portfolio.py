@@ -418,9 +418,9 @@ def alpha_trials(spark, sf):
     y, x = SC.split_roles(placed)
     named = S.fixed_selection(placed.select(*M.KEYS).distinct(), ["1-URGENT", "BUILDING"])
     z = RG.feature_columns(RG.selected_features(x, named), 2).filter("segment = 'fit'").drop("segment")
-    cov = materialize(CV.assets_only(M.fold_covariance(rows, d, ["fit"]), index))
-    q0 = CV.structured(cov, RG.fit_betas(y.filter("segment = 'fit'"), z, 2), 2)
-    return B.tune_alpha(q0, cov, y.filter("segment = 'validate'"))
+    cov = M.fold_covariance(SC.split_roles(rows)[0], d, ["fit"])
+    pair = CV.structured(cov, RG.fit_betas(y.filter("segment = 'fit'"), z, 2), 2)
+    return B.tune_alpha(materialize(pair), y.filter("segment = 'validate'"))
 
 
 @query("tune_alpha", sql(with_("trial"), "SELECT * FROM trial", "", "fold_id", "alpha validation_variance"))

@@ -93,28 +93,46 @@ def oas_weights(cov: DataFrame) -> DataFrame:
 
 
 def structured(cov: DataFrame, betas: DataFrame, slots: int) -> DataFrame:
-    """Factor part plus residual variances.
+    """Factor part plus residual variances in ``v``; with residual covariances in ``full``.
 
     By the normal equations beta_i' Cov(z) beta_j is beta_i . Cov(z, y_j), and the
-    full form (residual covariances kept) is the sample covariance, so only the
-    off-diagonal cells change.
+    full form is the sample covariance, so both sit in one row without a join.
     """
     b = betas.select(*KEYS, F.col("idx").alias("i"), "beta")
     c = betas.select(*KEYS, F.col("idx").alias("j"), "rhs")
     factor = total([F.col("beta")[s] * F.col("rhs")[s] for s in range(slots)])
     return (
-        cov.select(*CELLS).join(b, [*KEYS, "i"]).join(c, [*KEYS, "j"])
-        .withColumn("v", F.when(DIAGONAL, F.col("v")).otherwise(factor)).select(*CELLS)
+        cov.join(b, [*KEYS, "i"]).join(c, [*KEYS, "j"])
+        .withColumn("full", F.col("v")).withColumn("v", F.when(DIAGONAL, F.col("v")).otherwise(factor))
+        .select(*KEYS, "i", "j", "v", "full")
     )
 
 
-def blend(q0: DataFrame, qfull: DataFrame, alpha: DataFrame) -> DataFrame:
-    """(1-alpha) q0 + alpha qfull; ``alpha``: keys, alpha (one or more per fold)."""
-    full = qfull.select(*KEYS, "i", "j", F.col("v").alias("full"))
+def blend(pair: DataFrame, alpha: DataFrame) -> DataFrame:
+    """(1-alpha) v + alpha full; ``alpha``: keys, alpha (one or more per fold)."""
     a = F.col("alpha")
+    return pair.join(alpha, KEYS).withColumn("v", (1 - a) * F.col("v") + a * F.col("full")).drop("full")
+
+
+def linear_family(pair: DataFrame, stats: DataFrame, alpha: DataFrame) -> DataFrame:
+    """All estimators that are cell arithmetic, in one pass over the long matrix.
+
+    ``pair`` as from :func:`structured`; ``stats``: keys, tr, p, t, lw, oas.
+    """
+    full, a, eye = F.col("full"), F.col("alpha"), DIAGONAL
+    f = (F.col("t") - 1) / F.col("t")
+    mean = F.col("tr") / F.col("p")
+    toward = lambda w: (1 - F.col(w)) * full * f + F.when(eye, F.col(w) * mean * f).otherwise(0.0)
+    forms = {
+        "equal_weight": full, "sample_covariance": full,
+        "ridge_10pct": 0.9 * full + F.when(eye, 0.1 * mean).otherwise(0.0),
+        "ledoit_wolf": toward("lw"), "oas_shrinkage": toward("oas"),
+        "structured_q0": F.col("v"), "residual_aware_qr": (1 - a) * F.col("v") + a * full,
+    }
+    cell = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), x.alias("x")) for m, x in forms.items()]))
     return (
-        q0.select(*CELLS).join(full, [*KEYS, "i", "j"]).join(alpha, KEYS)
-        .withColumn("v", (1 - a) * F.col("v") + a * F.col("full")).drop("full")
+        pair.join(stats.join(alpha, KEYS), KEYS).select(*KEYS, "i", "j", cell.alias("c"))
+        .select(*KEYS, F.col("c.method").alias("method"), "i", "j", F.col("c.x").alias("v"))
     )
 
 
@@ -127,7 +145,8 @@ def _per_fold(cov: DataFrame, fn, columns, schema=MATRIX) -> DataFrame:
 
 def quadratic_inverse(cov: DataFrame) -> DataFrame:
     def run(key, pdf):
-        return kernels.cells(KEYS, key, kernels.quadratic_inverse(kernels.dense(pdf), int(pdf["n"].iloc[0])))
+        spectrum = kernels.spectrum(kernels.dense(pdf))
+        return kernels.cells(KEYS, key, kernels.quadratic_inverse(spectrum, int(pdf["n"].iloc[0])))
 
     return _per_fold(cov, run, [*CELLS, "n"])
 
@@ -136,11 +155,29 @@ def leading_plus_diagonal(cov: DataFrame, factors: DataFrame) -> DataFrame:
     """``factors``: keys, k."""
 
     def run(key, pdf):
-        return kernels.cells(KEYS, key, kernels.leading_plus_diagonal(kernels.dense(pdf), int(pdf["k"].iloc[0])))
+        m = kernels.dense(pdf)
+        return kernels.cells(KEYS, key, kernels.leading_plus_diagonal(m, kernels.spectrum(m), int(pdf["k"].iloc[0])))
 
     return _per_fold(cov.join(factors, KEYS), run, [*CELLS, "k"])
 
 
+def eigen_family(cov: DataFrame, factors: DataFrame) -> DataFrame:
+    """The eigenvalue estimators of a fold from one decomposition: keys, method, i, j, v."""
+
+    def run(key, pdf):
+        m, k = kernels.dense(pdf), int(pdf["k"].iloc[0])
+        s = kernels.spectrum(m)
+        made = {
+            "nonlinear_shrinkage_qis": kernels.quadratic_inverse(s, int(pdf["n"].iloc[0])),
+            "pca_matched": kernels.leading_plus_diagonal(m, s, k),
+            "pca_plus_two": kernels.leading_plus_diagonal(m, s, k + 2),
+        }
+        return pd.concat([kernels.cells(KEYS, key, x, method=name) for name, x in made.items()])
+
+    out = _per_fold(cov.join(factors, KEYS), run, [*CELLS, "n", "k"], MATRIX + ", method string")
+    return out.select(*KEYS, "method", "i", "j", "v")
+
+
 def thresholded_factors(rows: DataFrame, factors: DataFrame, constant: float = 0.5) -> DataFrame:
     """From the training rows themselves (fourth moments of residuals are needed)."""
 

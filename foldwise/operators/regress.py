@@ -23,9 +23,9 @@ def slot_columns(slots: int) -> list[str]:
     return [f"z{s}" for s in range(slots)]
 
 
-def feature_columns(features: DataFrame, slots: int) -> DataFrame:
+def feature_columns(features: DataFrame, slots: int, keys=KEYS) -> DataFrame:
     """(keys, segment, pos, slot, z) rows to one row per date with a column per slot."""
-    return features.groupBy(*KEYS, "segment", "pos").agg(
+    return features.groupBy(*keys, "segment", "pos").agg(
         *[F.max(F.when(F.col("slot") == s, F.col("z"))).alias(f"z{s}") for s in range(slots)]
     )
 
@@ -52,7 +52,7 @@ def scaled_inverse(gram: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def fit_betas(y_fit: DataFrame, z_fit: DataFrame, slots: int) -> DataFrame:
+def fit_betas(y_fit: DataFrame, z_fit: DataFrame, slots: int, keys=KEYS) -> DataFrame:
     """Per fold and asset: training mean, feature means and coefficients.
 
     ``y_fit`` rows: keys, pos, idx, value.  ``z_fit``: keys, pos, z0.. (unused
@@ -62,12 +62,12 @@ def fit_betas(y_fit: DataFrame, z_fit: DataFrame, slots: int) -> DataFrame:
     cross = [
         F.coalesce(F.covar_samp(zs[min(a, b)], zs[max(a, b)]), F.lit(0.0)) for a in range(slots) for b in range(slots)
     ]
-    fold_x = z_fit.groupBy(*KEYS).agg(
+    fold_x = z_fit.groupBy(*keys).agg(
         F.array(*cross).alias("gram"), F.array(*[F.coalesce(F.avg(z), F.lit(0.0)) for z in zs]).alias("z_mean")
     ).withColumn("inv", scaled_inverse("gram", F.lit(slots))).drop("gram")
     fold_y = (
-        y_fit.select(*KEYS, "pos", "idx", "value").join(z_fit.select(*KEYS, "pos", *zs), [*KEYS, "pos"])
-        .groupBy(*KEYS, "idx")
+        y_fit.select(*keys, "pos", "idx", "value").join(z_fit.select(*keys, "pos", *zs), [*keys, "pos"])
+        .groupBy(*keys, "idx")
         .agg(
             F.avg("value").alias("y_mean"),
             F.array(*[F.coalesce(F.covar_samp("value", z), F.lit(0.0)) for z in zs]).alias("rhs"),
@@ -75,35 +75,37 @@ def fit_betas(y_fit: DataFrame, z_fit: DataFrame, slots: int) -> DataFrame:
     )
     inv, rhs = F.col("inv"), F.col("rhs")
     row = lambda a: total([inv[a * slots + b] * rhs[b] for b in range(slots)])
-    return fold_y.join(fold_x, KEYS).select(
-        *KEYS, "idx", "y_mean", "z_mean", F.array(*[row(a) for a in range(slots)]).alias("beta"), "rhs"
+    return fold_y.join(fold_x, keys).select(
+        *keys, "idx", "y_mean", "z_mean", F.array(*[row(a) for a in range(slots)]).alias("beta"), "rhs"
     )
 
 
-def residuals(y: DataFrame, z: DataFrame, betas: DataFrame, slots: int) -> DataFrame:
+def residuals(y: DataFrame, z: DataFrame, betas: DataFrame, slots: int, keys=KEYS) -> DataFrame:
     """y minus its frozen fit; keeps the columns of ``y``."""
     zs = slot_columns(slots)
     fit = F.col("y_mean") + total(
         [F.col("beta")[s] * F.coalesce(F.col(zs[s]) - F.col("z_mean")[s], F.lit(0.0)) for s in range(slots)]
     )
     return (
-        y.join(z.select(*KEYS, "pos", *zs), [*KEYS, "pos"])
-        .join(betas, [*KEYS, "idx"])
+        y.join(z.select(*keys, "pos", *zs), [*keys, "pos"])
+        .join(betas, [*keys, "idx"])
         .withColumn("value", F.col("value") - fit)
         .select(*y.columns)
     )
 
 
-def frozen_residuals(y: DataFrame, features: DataFrame, slots: int, fit_segment: str, eval_segment: str) -> DataFrame:
+def frozen_residuals(
+    y: DataFrame, features: DataFrame, slots: int, fit_segment: str, eval_segment: str, keys=KEYS
+) -> DataFrame:
     """Fit on one segment, residuals on another, for the folds that have features.
 
     Where nothing was selected the caller falls back on the baseline.
     """
-    z = feature_columns(features, slots)
+    z = feature_columns(features, slots, keys)
     on = lambda df, s: df.filter(F.col("segment") == s)
     y_fit, y_eval = on(y, fit_segment), on(y, eval_segment)
     z_fit, z_eval = on(z, fit_segment).drop("segment"), on(z, eval_segment).drop("segment")
-    return residuals(y_eval, z_eval, fit_betas(y_fit, z_fit, slots), slots)
+    return residuals(y_eval, z_eval, fit_betas(y_fit, z_fit, slots, keys), slots, keys)
 
 
 def baseline_residuals(y: DataFrame, fit_segment: str, eval_segment: str) -> DataFrame:

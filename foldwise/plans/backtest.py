@@ -32,10 +32,13 @@ def tuning_design(training: int, test: int) -> folds.Design:
 SEGMENTS = {"fit": ["fit"], "validate": ["validate"], "training": ["fit", "validate"], "test": ["test"]}
 
 
-def tune_alpha(q0: DataFrame, qfull: DataFrame, validation: DataFrame, *, alphas=ALPHAS, floor_scale: float = 1e-6) -> DataFrame:
-    """Validation variance of every alpha: keys, alpha, validation_variance, eigen_floor_activated."""
-    grid = q0.select(*KEYS).distinct().withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    mixed = CV.blend(q0, qfull, grid).withColumn("method", F.lit("residual_aware_qr"))
+def tune_alpha(pair: DataFrame, validation: DataFrame, *, alphas=ALPHAS, floor_scale: float = 1e-6) -> DataFrame:
+    """Validation variance of every alpha: keys, alpha, validation_variance, eigen_floor_activated.
+
+    ``pair``: structured and full covariance of the fit rows.
+    """
+    grid = pair.select(*KEYS).distinct().withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    mixed = CV.blend(pair, grid).withColumn("method", F.lit("residual_aware_qr"))
     book = [*portfolio.BOOK, "alpha"]
     w = materialize(portfolio.minimum_variance(mixed, floor_scale=floor_scale, book=book))
     variance = portfolio.daily_pnl(w, validation).groupBy(*book).agg(F.var_samp("gross").alias("validation_variance"))
@@ -52,33 +55,29 @@ def estimators(
     ``rows``/``placed`` hold simple returns for assets; ``selected``: keys, slot, series.
     """
     y, x = split_roles(placed)
-    cov = materialize(CV.assets_only(moments.fold_covariance(rows, design, SEGMENTS["training"]), index))
-    fit_cov = CV.assets_only(moments.fold_covariance(rows, design, SEGMENTS["fit"]), index)
+    assets, _ = split_roles(rows)
+    cov = materialize(moments.fold_covariance(assets, design, SEGMENTS["training"]))
+    fit_cov = moments.fold_covariance(assets, design, SEGMENTS["fit"])
     z = materialize(regress.feature_columns(regress.selected_features(x, selected), slots))
     on = lambda df, s: df.filter(F.col("segment") == s)
     betas = lambda s: regress.fit_betas(on(y, s), on(z, s).drop("segment"), slots)
-    fit_cov = materialize(fit_cov)
     trials = materialize(tune_alpha(
-        CV.structured(fit_cov, betas("fit"), slots), fit_cov, on(y, "validate"), alphas=alphas, floor_scale=floor_scale
+        materialize(CV.structured(fit_cov, betas("fit"), slots)), on(y, "validate"), alphas=alphas, floor_scale=floor_scale
     ))
     alpha = portfolio.pick_alpha(trials)
-    q0 = materialize(CV.structured(cov, betas("training"), slots))
     k = selected.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k"))
     train = on(y, "training")
-    made = {
-        "equal_weight": cov,
-        "sample_covariance": cov,
-        "ridge_10pct": CV.ridge(cov),
-        "ledoit_wolf": CV.shrink_to_identity(cov, CV.ledoit_wolf_weights(cov, train)),
-        "oas_shrinkage": CV.shrink_to_identity(cov, CV.oas_weights(cov)),
-        "nonlinear_shrinkage_qis": CV.quadratic_inverse(cov),
-        "pca_matched": CV.leading_plus_diagonal(cov, k),
-        "pca_plus_two": CV.leading_plus_diagonal(cov, k.withColumn("k", F.col("k") + 2)),
-        "poet_soft_c0_5": CV.thresholded_factors(train, k),
-        "structured_q0": q0,
-        "residual_aware_qr": CV.blend(q0, cov, alpha).select(*CV.CELLS),
-    }
-    return CV.union_all([CV.tag(m, made[m]) for m in METHODS]), trials, alpha
+    stats = (
+        CV.matrix_stats(cov)
+        .join(CV.ledoit_wolf_weights(cov, train).withColumnRenamed("w", "lw"), KEYS)
+        .join(CV.oas_weights(cov).withColumnRenamed("w", "oas"), KEYS)
+    )
+    matrices = (
+        CV.linear_family(CV.structured(cov, betas("training"), slots), stats, alpha)
+        .unionByName(CV.eigen_family(cov, k))
+        .unionByName(CV.tag("poet_soft_c0_5", CV.thresholded_factors(train, k)))
+    )
+    return matrices, trials, alpha
 
 
 def covariance_backtest(
