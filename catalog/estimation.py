@@ -33,14 +33,16 @@ def plain_ledger(levels):
     )
 
 
+@I.staged("aligned_panels")
 def aligned_panels(spark, sf):
     """Repaired brand returns and driver innovations on common complete weeks."""
     y = materialize(brand_assets(spark, sf))
-    lv = materialize(I.drv_w(spark, sf))
+    lv = I.drv_w(spark, sf)
     x = materialize(D.driver_innovations(lv, plain_ledger(lv), C.calendar(y), lag=0))
-    return A.intersect_complete(y, x)
+    return tuple(materialize(p) for p in A.intersect_complete(y, x))
 
 
+@I.staged("aligned_rows")
 def aligned_rows(spark, sf):
     """Assets and drivers stacked, numbered and positioned; and their index."""
     return SC.prepare(*aligned_panels(spark, sf))
@@ -88,6 +90,7 @@ def fold_rows(name, source, train, test, step):
 fold_rows("s", "al", 104, 26, 26)
 
 
+@I.staged("emb_rows")
 def emb_rows(spark, sf):
     return materialize(M.indexed(I.emb(spark, sf)))
 

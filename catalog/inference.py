@@ -22,6 +22,7 @@ SEED = 20260902
 REFERENCE = "ECONOMY"
 
 
+@I.staged("strategy_results")
 def strategy_results(spark, sf):
     rows = C.with_positions(materialize(type_returns(spark, sf)))
     parts = None

@@ -8,6 +8,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+_STAGED: dict = {}
+
+
+def staged(name):
+    """Keep the tables a preparation step has written, as later steps of a study read them.
+
+    One copy per session and input folder; :func:`forget` makes the next query prepare again.
+    """
+
+    def wrap(build):
+        def get(spark, sf):
+            key = (spark.sparkContext.applicationId, id(spark), sf, name)
+            if key not in _STAGED:
+                _STAGED[key] = build(spark, sf)
+            return _STAGED[key]
+
+        return get
+
+    return wrap
+
+
+def forget():
+    _STAGED.clear()
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.alignment import type_returns
 from catalog.estimation import aligned_panels, fold_rows
-from catalog.inputs import cte, with_
+from catalog.inputs import cte, staged, with_
 from catalog.registry import query, sql
 from foldwise.operators import calendar as C
 from foldwise.operators import covariance as CV
@@ -30,6 +30,7 @@ fold_rows("p", "simpa", TRAIN, TEST, TEST)
 fold_rows("pw", "simpa", 52, TEST, TEST)
 
 
+@staged("simple_rows")
 def simple_rows(spark, sf):
     y, x = aligned_panels(spark, sf)
     return SC.prepare(y.withColumn("value", F.expm1("value")), x)
@@ -334,7 +335,6 @@ def asof_frozen_selection(spark, sf):
 
 def run_backtest(spark, sf, long_only=False):
     y, x = aligned_panels(spark, sf)
-    y, x = materialize(y), materialize(x)
     ledger = frozen_ledger(C.positions(C.calendar(y)))
     return B.covariance_backtest(y, x, ledger, training=(TRAIN,), test=TEST, slots=2, long_only=long_only)
 

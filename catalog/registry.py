@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.session import ship_package
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 DIGITS = 6
@@ -38,6 +40,7 @@ def query(name: str, oracle: str | None = None):
         assert name not in QUERIES, name
 
         def run(spark, sf_dir):
+            ship_package(spark)
             return tidy(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__

@@ -19,8 +19,8 @@ UNCONDITIONED = {
 
 
 def prepare(assets: DataFrame, drivers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered, positioned rows of both panels (kept on disk: read many times) and their index."""
-    rows = materialize(moments.indexed(materialize(moments.stack_roles(assets, drivers))))
+    """Numbered, positioned rows of both panels (written once: read many times) and their index."""
+    rows = materialize(moments.indexed(moments.stack_roles(assets, drivers)))
     return rows, moments.index_of(rows)
 
 
@@ -46,10 +46,6 @@ def metrics(rows: DataFrame, floor: float | None, spectrum: bool = True) -> Data
     return scores.join(wide, KEYS)
 
 
-def prefixed(prefix: str, df: DataFrame, columns) -> DataFrame:
-    return df.select(*KEYS, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
-
-
 def state_features(driver_rows: DataFrame, chosen: DataFrame, state: DataFrame, cal: DataFrame, design, slots: int):
     """Chosen drivers, a high-state indicator and their products; and the threshold per fold.
 

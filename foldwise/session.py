@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,23 @@ def parallelism(df: DataFrame) -> int:
     """Task count for spreading compute-heavy generated rows over the cluster."""
     sc = df.sparkSession.sparkContext
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package (once per application), wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="foldwise-lib-"), "foldwise.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(home):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
