@@ -38,12 +38,33 @@ def selection_moments(rows: DataFrame, index: DataFrame, design, segments, asset
     return moments.fold_covariance(slim, design, segments), narrow
 
 
-def metrics(rows: DataFrame, floor: float | None, spectrum: bool = True) -> DataFrame:
-    scores = moments.offdiag_scores(rows, KEYS, floor)
+def metrics(rows: DataFrame, keys, floor: float | None, spectrum: bool = True) -> DataFrame:
     if not spectrum:
-        return scores
-    wide = moments.window_spectrum(rows, KEYS).select(*KEYS, "effective_rank", "cov_offdiag_spectral")
-    return scores.join(wide, KEYS)
+        return moments.offdiag_scores(rows, keys, floor)
+    rows = materialize(rows)
+    wide = moments.window_spectrum(rows, keys).select(*keys, "effective_rank", "cov_offdiag_spectral")
+    return moments.offdiag_scores(rows, keys, floor).join(wide, keys)
+
+
+def stack_stages(stages: dict[str, DataFrame]) -> DataFrame:
+    """Residuals of several models under a stage name, so that they are scored in one job."""
+    return covariance.union_all([
+        e.select(*KEYS, F.lit(name).alias("stage"), "pos", "idx", "n_series", "value") for name, e in stages.items()
+    ])
+
+
+def by_stage(rows: DataFrame, uses) -> DataFrame:
+    """Copy rows to the stages that use their segment: ``uses`` is (stage, part, segment) triples."""
+    segment = F.col("segment")
+    copies = None
+    for name in sorted({u[2] for u in uses}):
+        array = F.array(*[
+            F.struct(F.lit(stage).alias("stage"), F.lit(part).alias("part")) for stage, part, s in uses if s == name
+        ])
+        copies = F.when(segment == name, array) if copies is None else copies.when(segment == name, array)
+    return rows.withColumn("_use", F.explode(copies)).withColumn("stage", F.col("_use.stage")).withColumn(
+        "segment", F.col("_use.part")
+    ).drop("_use")
 
 
 def state_features(driver_rows: DataFrame, chosen: DataFrame, state: DataFrame, cal: DataFrame, design, slots: int):
@@ -80,19 +101,20 @@ def evaluate_representation(
     chosen = materialize(selection.named_selection(chosen_state, narrow))
     placed = folds.assign_folds(rows, design)
     y, x = split_roles(placed)
-    base = metrics(y.filter("segment = 'test'"), FLOOR, spectrum)
-    picked = regress.selected_features(x, chosen)
-    e = regress.frozen_residuals(y, picked, max_drivers, "training", "test")
+    stages = {"baseline": y.filter("segment = 'test'")}
+    stages["selected"] = regress.frozen_residuals(y, regress.selected_features(x, chosen), max_drivers, "training", "test")
     names = ["s_f", "s_inf"] + (["effective_rank"] if spectrum else [])
     cal = rows.select(*KEY, "pos", "n_dates").distinct()
     count = chosen.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("selected_count"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "series"))), lambda s: s["series"]), " | ").alias("selected_drivers"),
     )
-    after = metrics(e, FLOOR, spectrum)
+    if state is not None:
+        z, level = state_features(x, chosen, align.state_on_dates(state, cal), cal, design, max_drivers)
+        stages["state"] = regress.frozen_residuals(y, z, 2 * max_drivers + 1, "training", "test")
+    scores = prefixed_metrics(metrics(stack_stages(stages), [*KEYS, "stage"], FLOOR, spectrum), list(stages), names)
     out = (
-        folds.fold_calendar(cal, design).join(prefixed("baseline", base, names), KEYS)
-        .join(prefixed("selected", after, names), KEYS, "left")
+        folds.fold_calendar(cal, design).join(scores, KEYS)
         .withColumns({f"selected_{c}": F.coalesce(f"selected_{c}", f"baseline_{c}") for c in names})
         .join(count, KEYS, "left")
         .withColumn("selected_count", F.coalesce("selected_count", F.lit(0)))
@@ -101,12 +123,8 @@ def evaluate_representation(
         .withColumn("relative_reduction_s_f", -F.col("delta_s_f") / F.col("baseline_s_f"))
     )
     if state is not None:
-        z, level = state_features(x, chosen, align.state_on_dates(state, cal), cal, design, max_drivers)
-        busy = y.join(chosen.select(*KEYS).distinct(), KEYS, "left_semi")
-        es = regress.frozen_residuals(busy, z, 2 * max_drivers + 1, "training", "test")
         out = (
-            out.join(prefixed("state", metrics(es, FLOOR, spectrum), names), KEYS, "left")
-            .join(level, KEYS, "left")
+            out.join(level, KEYS, "left")
             .withColumn("state_threshold", F.when(F.col("selected_count") > 0, F.col("state_threshold")))
             .withColumn("state_delta_vs_constant_s_f", F.col("state_s_f") - F.col("selected_s_f"))
         )
@@ -217,35 +235,35 @@ def screen_certify_test(
     k_two = k_folds.withColumn("k", F.col("k") + 2)
     scores = materialize(pca_features(rows, index, x, design, segments["development"], k_two))
     matched = scores.join(k_folds, KEYS).filter("slot < k").drop("k")
-    at = lambda seg: y.filter(F.col("segment") == seg)
-    fit = lambda z, slots, a, b: regress.frozen_residuals(y, z, slots, a, b)
-    stages = {
-        "selection_no_conditioning": at("selection"),
-        "selection_selected": fit(picked, max_drivers, "selection", "selection"),
-        "certification_no_conditioning": at("certification"),
-        "certification_selected_frozen": fit(picked, max_drivers, "selection", "certification"),
-        "test_no_conditioning": at("test"),
-        "test_selected_frozen": fit(picked, max_drivers, "development", "test"),
-        "test_pca_matched": fit(matched, max_drivers, "development", "test"),
-        "test_pca_plus_two": fit(scores, max_drivers + 2, "development", "test"),
+    models = {
+        "selection_selected": ("picked", "selection", "selection"),
+        "certification_selected_frozen": ("picked", "selection", "certification"),
+        "test_selected_frozen": ("picked", "development", "test"),
+        "test_pca_matched": ("matched", "development", "test"),
+        "test_pca_plus_two": ("scores", "development", "test"),
     }
+    features = {"picked": picked, "matched": matched, "scores": scores}
     if observable:
-        fixed = selection.fixed_selection(state.select(*KEYS), list(observable))
-        stages["test_observable_set"] = fit(regress.selected_features(x, fixed), len(observable), "development", "test")
-    stacked = covariance.union_all([
-        e.select(*KEYS, F.lit(name).alias("stage"), "pos", "idx", "n_series", "value") for name, e in stages.items()
-    ])
+        models["test_observable_set"] = ("fixed", "development", "test")
+        features["fixed"] = regress.selected_features(x, selection.fixed_selection(state.select(*KEYS), list(observable)))
+    uses = lambda names: [
+        (stage, part, seg) for stage, (f, a, b) in models.items() if f in names for part, seg in (("fit", a), ("judge", b))
+    ]
     by = [*KEYS, "stage"]
-    stacked = materialize(stacked) if spectrum else stacked
-    results = moments.offdiag_scores(stacked, by, None)
+    z = covariance.union_all([by_stage(f, uses([name])) for name, f in features.items()])
+    slots = max(max_drivers + 2, len(observable))
+    # every model of every fold in one regression job
+    e = regress.frozen_residuals(by_stage(y, uses(list(features))), z, slots, "fit", "judge", by)
+    raw = ["selection", "certification", "test"]
+    bare = y.filter(F.col("segment").isin(raw)).withColumn("stage", F.concat("segment", F.lit("_no_conditioning")))
+    columns = [*by, "pos", "idx", "n_series", "value"]
+    results = metrics(bare.select(*columns).unionByName(e.select(*columns)), by, None, spectrum)
     if spectrum:
-        wide = moments.window_spectrum(stacked, by).select(*by, "cov_offdiag_spectral")
-        results = results.join(wide, by)
+        results = results.drop("effective_rank")
     results = materialize(results)
     # a fold that chose nothing is judged on its baseline
     idle = state.filter(F.size("chosen") == 0).select(*KEYS)
-    frozen = {s: b for s, b in UNCONDITIONED.items() if s in stages}
-    names = F.explode(F.array(*[F.struct(F.lit(b).alias("stage"), F.lit(s).alias("as_stage")) for s, b in frozen.items()]))
+    names = F.explode(F.array(*[F.struct(F.lit(b).alias("stage"), F.lit(s).alias("as_stage")) for s, b in UNCONDITIONED.items()]))
     alias = idle.select(*KEYS, names.alias("n")).select(*KEYS, "n.*")
     same = results.join(alias, by).drop("stage").withColumnRenamed("as_stage", "stage")
     results = results.unionByName(same.select(*results.columns))
