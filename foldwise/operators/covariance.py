@@ -18,7 +18,10 @@ from foldwise.operators.moments import KEYS, window_matrix
 
 CELLS = [*KEYS, "i", "j", "v"]
 MATRIX = "panel_id string, design string, fold_id long, i int, j int, v double"
-DIAGONAL = F.col("i") == F.col("j")
+
+
+def diagonal():
+    return F.col("i") == F.col("j")
 
 
 def assets_only(cov: DataFrame, index: DataFrame) -> DataFrame:
@@ -29,15 +32,15 @@ def assets_only(cov: DataFrame, index: DataFrame) -> DataFrame:
 
 def matrix_stats(cov: DataFrame) -> DataFrame:
     """Per fold: trace, width, sum of squares over the full matrix, rows used."""
-    twice = F.when(DIAGONAL, 1.0).otherwise(2.0)
+    twice = F.when(diagonal(), 1.0).otherwise(2.0)
     return cov.groupBy(*KEYS).agg(
-        F.sum(F.when(DIAGONAL, F.col("v")).otherwise(0.0)).alias("tr"), F.count_if(DIAGONAL).alias("p"),
+        F.sum(F.when(diagonal(), F.col("v")).otherwise(0.0)).alias("tr"), F.count_if(diagonal()).alias("p"),
         F.sum(twice * F.col("v") * F.col("v")).alias("ss"), F.max("n").alias("t"),
     )
 
 
 def ridge(cov: DataFrame, intensity: float = 0.10) -> DataFrame:
-    target = F.when(DIAGONAL, F.col("tr") / F.col("p")).otherwise(0.0)
+    target = F.when(diagonal(), F.col("tr") / F.col("p")).otherwise(0.0)
     return cov.join(matrix_stats(cov), KEYS).withColumn(
         "v", (1 - intensity) * F.col("v") + intensity * target
     ).select(*CELLS)
@@ -61,7 +64,7 @@ def shrink_to_identity(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """(1-w) S0 + w (tr S0 / p) I with S0 the ddof-0 covariance; weights: keys, w."""
     s0 = F.col("v") * (F.col("t") - 1) / F.col("t")
     mu = F.col("tr") * (F.col("t") - 1) / F.col("t") / F.col("p")
-    shrunk = (1 - F.col("w")) * s0 + F.when(DIAGONAL, F.col("w") * mu).otherwise(0.0)
+    shrunk = (1 - F.col("w")) * s0 + F.when(diagonal(), F.col("w") * mu).otherwise(0.0)
     return cov.join(matrix_stats(cov).join(weights, KEYS), KEYS).withColumn("v", shrunk).select(*CELLS)
 
 
@@ -103,7 +106,7 @@ def structured(cov: DataFrame, betas: DataFrame, slots: int) -> DataFrame:
     factor = total([F.col("beta")[s] * F.col("rhs")[s] for s in range(slots)])
     return (
         cov.join(b, [*KEYS, "i"]).join(c, [*KEYS, "j"])
-        .withColumn("full", F.col("v")).withColumn("v", F.when(DIAGONAL, F.col("v")).otherwise(factor))
+        .withColumn("full", F.col("v")).withColumn("v", F.when(diagonal(), F.col("v")).otherwise(factor))
         .select(*KEYS, "i", "j", "v", "full")
     )
 
@@ -119,7 +122,7 @@ def linear_family(pair: DataFrame, stats: DataFrame, alpha: DataFrame) -> DataFr
 
     ``pair`` as from :func:`structured`; ``stats``: keys, tr, p, t, lw, oas.
     """
-    full, a, eye = F.col("full"), F.col("alpha"), DIAGONAL
+    full, a, eye = F.col("full"), F.col("alpha"), diagonal()
     f = (F.col("t") - 1) / F.col("t")
     mean = F.col("tr") / F.col("p")
     toward = lambda w: (1 - F.col(w)) * full * f + F.when(eye, F.col(w) * mean * f).otherwise(0.0)

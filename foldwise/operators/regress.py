@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.functions.expr import total
 from foldwise.operators.moments import KEYS
@@ -37,7 +38,7 @@ def selected_features(driver_rows: DataFrame, selection: DataFrame) -> DataFrame
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def scaled_inverse(gram: pd.Series, size: pd.Series) -> pd.Series:
     """Inverse of a feature covariance by way of its correlation; minimum norm when singular."""
     out = []

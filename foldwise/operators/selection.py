@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.operators.moments import KEYS
 from foldwise.session import materialize
@@ -66,7 +67,7 @@ def _correlation_score(c: np.ndarray, variance_floor: float | None) -> float:
 def make_scorer(variance_floor: float | None):
     """UDF: residual correlation score of each trial subset of drivers."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scorer(tri: pd.Series, n_assets: pd.Series, n_series: pd.Series, trials: pd.Series) -> pd.Series:
         out = []
         for flat, n, m, subsets in zip(tri, n_assets, n_series, trials):
