@@ -17,25 +17,23 @@ from foldwise.operators import returns as R
 
 GATE = "gate passed detail"
 
-ASSET_SQL = (
-    "SELECT 'B' AS panel, p_name AS source_label, CASE WHEN p_partkey % 500 = 3 THEN ' ' ELSE CAST(p_partkey AS VARCHAR) END AS stable_security_id, p_brand AS source_vendor, p_type AS source_field, "
-    "'price' AS data_type, CASE WHEN p_size > 45 THEN 'UNKNOWN' ELSE 'Yes' END AS corporate_action_adjusted, 'n/a' AS delisting_return_policy, "
-    "CASE WHEN p_size % 3 = 0 THEN 'no' WHEN p_size % 3 = 1 THEN ' TRUE' ELSE '' END AS confirmatory_eligible, '' AS exclusion_reason FROM {part}"
-)
+# a review ledger laid over the parts: some blank identifiers, some unknown flags
+ASSET_FIELDS = {
+    "panel": "'B'", "source_label": "p_name",
+    "stable_security_id": "CASE WHEN p_partkey % 500 = 3 THEN ' ' ELSE CAST(p_partkey AS {text}) END",
+    "source_vendor": "p_brand", "source_field": "p_type", "data_type": "'price'",
+    "corporate_action_adjusted": "CASE WHEN p_size > 45 THEN 'UNKNOWN' ELSE 'Yes' END", "delisting_return_policy": "'n/a'",
+    "confirmatory_eligible": "CASE WHEN p_size % 3 = 0 THEN 'no' WHEN p_size % 3 = 1 THEN ' TRUE' ELSE '' END",
+    "exclusion_reason": "''",
+}
+
+
+def _fields(text):
+    return [f"{e.format(text=text)} AS {c}" for c, e in ASSET_FIELDS.items()]
 
 
 def asset_ledger(spark, sf):
-    part = I.table(spark, sf, "part")
-    text = ASSET_SQL.replace("VARCHAR", "STRING")
-    cols = text[len("SELECT "):text.index(" FROM {part}")]
-    from_parts, depth, start = [], 0, 0
-    for k, ch in enumerate(cols):  # split the select list at its top-level commas
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            from_parts.append(cols[start:k])
-            start = k + 1
-    from_parts.append(cols[start:])
-    return part.selectExpr(*from_parts)
+    return I.table(spark, sf, "part").selectExpr(*_fields("STRING"))
 
 
 ASSET_GATES = (
@@ -45,7 +43,8 @@ ASSET_GATES = (
     "SELECT 'asset_stable_ids', bool_and(trim(stable_security_id) <> ''), CASE WHEN bool_and(trim(stable_security_id) <> '') THEN 'All eligible rows mapped' ELSE 'Stable IDs missing' END FROM e UNION ALL "
     "SELECT 'asset_source_provenance', bool_and(trim(source_vendor) <> '' AND trim(source_field) <> ''), CASE WHEN bool_and(trim(source_vendor) <> '' AND trim(source_field) <> '') THEN 'All eligible rows documented' ELSE 'Vendor/field missing' END FROM e"
 )
-ASSET_WITH = f"WITH l AS ({ASSET_SQL.format(part='part')}), e AS (SELECT * FROM l WHERE lower(trim(confirmatory_eligible)) IN ('true', 'yes', 'y', '1'))"
+ASSET_SQL = "SELECT " + ", ".join(_fields("VARCHAR")) + " FROM part"
+ASSET_WITH = f"WITH l AS ({ASSET_SQL}), e AS (SELECT * FROM l WHERE lower(trim(confirmatory_eligible)) IN ('true', 'yes', 'y', '1'))"
 
 
 @query("asset_ledger_gates", sql(ASSET_WITH, ASSET_GATES, GATE))
