@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.expr import hash_draw, total
+from foldwise.functions.expr import hash_draw
 from foldwise.session import materialize, parallelism
 
 CHUNK = 500
@@ -224,18 +224,18 @@ def moving_block_positions(lengths: DataFrame, keys, block: int, reps: int, seed
     )
 
 
-def average_ranks(rows: DataFrame, keys, value: str, name: str, buckets: int = 64) -> DataFrame:
+def average_ranks(rows: DataFrame, keys, value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Ranks with ties averaged, also when one group holds most rows.
 
-    Equal values are counted first; the distinct values of a group are then
-    ranked inside value ranges whose offsets come from the range totals.
+    Equal values are counted first.  The distinct values are range-partitioned, so
+    a hot group spreads over many ranges; each range is ranked by itself and starts
+    after the total of the ranges before it.  The ranges are written down once, as
+    both sides of the join must see the same ones.
     """
     keys = list(keys)
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    marks = [F.lit(k / buckets) for k in range(1, buckets)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*marks), 1000).alias("cuts"))
-    above = [(F.col(value) > F.col("cuts")[k]).cast("int") for k in range(buckets - 1)]  # code-generated, unlike a lambda
-    placed = counts.join(cuts, keys).withColumn("bucket", total(above)).drop("cuts")
+    ranges = counts.repartitionByRange(buckets or parallelism(rows), *keys, value)
+    placed = materialize(ranges.withColumn("bucket", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys, "bucket").agg(F.sum("c").alias("t")).select(
         *keys, "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset")
