@@ -149,13 +149,14 @@ def improvement_gate(results: DataFrame, delta: str = "delta_s_f") -> DataFrame:
 def panel_validation(panel: DataFrame) -> DataFrame:
     """Shape, duplicates, missing and non-finite cells, and where |value| is largest."""
     keys = panel.groupBy("panel_id", "dt", "series").agg(
-        F.count(F.lit(1)).alias("copies"), F.count_if(~is_finite(F.col("value"))).alias("bad"),
+        F.count(F.lit(1)).alias("copies"), F.count("value").alias("present"),
+        F.count_if(F.col("value").isNotNull() & ~is_finite(F.col("value"))).alias("bad"),
         F.max(F.when(is_finite(F.col("value")), F.abs("value"))).alias("size"),
     )
     top = F.max(F.struct("size", "series", "dt"))
     return keys.groupBy("panel_id").agg(
         F.countDistinct("dt").alias("n_rows"), F.countDistinct("series").alias("n_columns"),
-        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("copies") > 1).alias("duplicate_cells"),
+        F.count_if(F.col("present") > 0).alias("cells"), F.count_if(F.col("copies") > 1).alias("duplicate_cells"),
         F.sum("bad").alias("nonfinite_cells"), top.alias("top"),
     ).select(
         "panel_id", "n_rows", "n_columns", "duplicate_cells", "nonfinite_cells",

@@ -62,14 +62,19 @@ def synchronous_pairs(prices: DataFrame, universe: DataFrame | None = None) -> D
     The count over (panel, date) is a window, so the pairs are shuffled once
     more and not joined with themselves; its partitions are one date wide.
     """
-    universe = universe_of(prices) if universe is None else universe
+    dates = calendar(prices)  # of all source rows, also those outside the universe
+    if universe is None:
+        universe = universe_of(prices)
+    else:
+        prices = prices.join(universe.select("panel_id", "series"), ["panel_id", "series"], "left_semi")
     width = universe.groupBy("panel_id").agg(F.count(F.lit(1)).alias("n_series"))
+    # the width travels with the short calendar, so no large join has the panel alone as its key
+    cal_pos = positions(dates).join(width, "panel_id")
     w = Window.partitionBy(*KEY)
     return (
-        adjacent_pairs(prices)
+        adjacent_pairs(prices, cal_pos)
         .filter("pair_ok")
         .withColumn("n_ok", F.count(F.lit(1)).over(w))
-        .join(width, "panel_id")
         .filter("n_ok = n_series")
         .drop("n_ok", "n_series")
     )

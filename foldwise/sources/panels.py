@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from foldwise.functions.expr import numeric_coerce, parse_date_strict
 
 
-def wide_to_long(wide: DataFrame, date_col: str = "date", panel_id: str = "panel", keep_missing: bool = False) -> DataFrame:
+def wide_to_long(wide: DataFrame, date_col: str = "date", panel_id: str = "panel", keep_missing: bool = True) -> DataFrame:
     """Wide dated table (one column per series) to (panel_id, dt, series, value).
 
-    Text that is no number becomes missing.  Missing cells are dropped unless
-    asked for: the operators treat an absent row as missing.
+    Text that is no number becomes NULL.  NULL cells are kept by default: a date on
+    which every series is missing must stay in the calendar, or returns would be
+    taken across it.  Drop them only where other rows keep the dates.
     """
     names = [c for c in wide.columns if c != date_col]
     cells = wide.select(
@@ -22,7 +23,7 @@ def wide_to_long(wide: DataFrame, date_col: str = "date", panel_id: str = "panel
     return cells if keep_missing else cells.filter("value IS NOT NULL")
 
 
-def read_wide_csv(spark: SparkSession, path: str, date_col: str = "date", panel_id: str = "panel", keep_missing: bool = False) -> DataFrame:
+def read_wide_csv(spark: SparkSession, path: str, date_col: str = "date", panel_id: str = "panel", keep_missing: bool = True) -> DataFrame:
     """Wide CSV (plain or gzip); every cell is read as text, so no inference pass."""
     wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return wide_to_long(wide, date_col, panel_id, keep_missing)

@@ -65,4 +65,15 @@ def test_wide_csv_round_trip(spark, tmp_path):
     wide = spark.createDataFrame([("20200101", "1.5", "n/a"), ("2020-01-02", "2", "3")], "date string, A string, B string")
     P.write_csv(wide, str(tmp_path / "w"), gzip=True)
     long = P.read_wide_csv(spark, str(tmp_path / "w"))
-    assert values(long) == {(day(0), "A"): 1.5, (day(1), "A"): 2.0, (day(1), "B"): 3.0}
+    assert values(long) == {(day(0), "A"): 1.5, (day(0), "B"): None, (day(1), "A"): 2.0, (day(1), "B"): 3.0}
+
+
+def test_date_with_no_price_at_all_is_not_bridged(spark):
+    wide = spark.createDataFrame([("2020-01-01", "1"), ("2020-01-02", None), ("2020-01-03", "2"), ("2020-01-04", "4")], "date string, A string")
+    assert values(R.synchronous_returns(P.wide_to_long(wide))) == {(day(3), "A"): pytest.approx(math.log(2))}
+
+
+def test_universe_keeps_the_calendar_of_all_rows(spark, panel):
+    px = panel({"A": [1, None, 2, 4], "B": [1, 1, 1, None]})
+    universe = spark.createDataFrame([("p", "A")], "panel_id string, series string")
+    assert values(R.synchronous_returns(px, universe)) == {(day(3), "A"): pytest.approx(math.log(2))}
