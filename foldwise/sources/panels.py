@@ -30,9 +30,10 @@ def read_wide_csv(spark: SparkSession, path: str, date_col: str = "date", panel_
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """Long parquet panel; filters on panel_id prune partitions."""
+    """Long parquet panel; filters on panel_id prune partitions, NaN is read as missing."""
     schema = "panel_id string, dt date, series string, value double"
-    return spark.read.schema(schema).parquet(path)
+    panel = spark.read.schema(schema).parquet(path)
+    return panel.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def project_universe(panel: DataFrame, universe: DataFrame) -> DataFrame:
