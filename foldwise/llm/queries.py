@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import quality_rules
+from foldwise.llm import mixing, quality_rules, simhash, slots
 from foldwise.llm.checks import ORACLES
-from foldwise.llm.text import table
-from foldwise.session import ship_package
+from foldwise.llm.text import table, whole
+from foldwise.session import materialize, ship_package
 
 QUERIES: dict = {}
 
@@ -31,3 +31,34 @@ def op6_quality_rules(spark, sf):
         "doc_id", *[m + c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"), (~base & F.col("quality.kept")).alias("kept"),
     )
+
+
+@query
+def op5_slot_shards(spark, sf):
+    """All documents in 24 shards of nearly equal bytes, through the slot table."""
+    thin = materialize(table(spark, sf, "documents").select(
+        "doc_id", slots.record_size().alias("size"), F.crc32(whole("text")).alias("text_crc32"), slots.virtual_slot().alias("v_slot"),
+    ))
+    slot_map = slots.first_map(slots.slot_stats(thin, "v_slot", "size"), 24)
+    placed = slots.assign(thin, slot_map, "v_slot")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        slots.place_in_shard(placed, "v_slot", ["doc_id", "text_crc32", "size"]).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "v_slot",
+    )
+
+
+@query
+def op7_entropy_mix(spark, sf):
+    """Words that the mixture takes of every document."""
+    thin = materialize(table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    return mixing.with_copies(thin, size="size").select(
+        "doc_id", "size", F.col("_fw_source_size").alias("source_size"), F.col("_fw_target").alias("target"),
+        (F.col("_fw_copies") * F.col("size")).alias("taken"),
+    )
+
+
+@query
+def op2_simhash(spark, sf):
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
