@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import mixing, quality_rules, simhash, slots
+from foldwise.llm import decontaminate, mixing, preference, quality_rules, simhash, slots, warc
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
 from foldwise.session import materialize, ship_package
@@ -62,3 +62,26 @@ def op2_simhash(spark, sf):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_decontaminate(spark, sf):
+    """Every document and benchmark item whose passage it holds, with the edit distance."""
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op4_preference_quality(spark, sf):
+    """Score and prediction of every document."""
+    featured = materialize(table(spark, sf, "documents").select("doc_id", preference.features().alias("x")))
+    model = preference.fit(featured, table(spark, sf, "labels"))
+    return featured.select("doc_id", preference.held_out().alias("held_out"), model.score(F.col("x")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= preference.CUT).cast("int")
+    )
+
+
+@query
+def op10_warc_index(spark, sf):
+    """All pages written as WARC, read back and merged into one capture history."""
+    _, merged = warc.archive(table(spark, sf, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "length")
