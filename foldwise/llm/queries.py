@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, mixing, preference, quality_rules, simhash, slots, warc
+from foldwise.llm import decontaminate, mixing, preference, quality_rules, simhash, slots, suffix_dedup, warc
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
 from foldwise.session import materialize, ship_package
@@ -85,3 +85,13 @@ def op10_warc_index(spark, sf):
     """All pages written as WARC, read back and merged into one capture history."""
     _, merged = warc.archive(table(spark, sf, "pages"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "length")
+
+
+@query
+def op1_suffix_dedup(spark, sf):
+    """Bytes of every document that lie in repeated strings of 400 bytes, and the digest of the rest."""
+    left = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return left.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
