@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, mixing, preference, quality_rules, simhash, slots, suffix_dedup, warc
+from foldwise.llm import decontaminate, mixing, pii, preference, quality_rules, simhash, slots, suffix_dedup, warc
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
 from foldwise.session import materialize, ship_package
@@ -95,3 +95,14 @@ def op1_suffix_dedup(spark, sf):
     return left.select(
         "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op9_pii_spans(spark, sf):
+    """Counts and spans of personal data in every document."""
+    seen = pii.detect(table(spark, sf, "documents").select("doc_id", "text"), pii.fit(spark))
+    return seen.select(
+        "doc_id", *[pii.count_kind(F.col("pii.base"), k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.span_list(F.col("pii.base")), 256).alias("base_sha256"),
+        pii.span_list(F.sort_array(F.concat("pii.base", "pii.more"))).alias("spans"),
+    )
