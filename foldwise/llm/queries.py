@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, mixing, pii, preference, quality_rules, simhash, slots, suffix_dedup, warc
+from foldwise.llm import decontaminate, html_crf, mixing, pii, preference, quality_rules, simhash, slots, suffix_dedup, warc
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
 from foldwise.session import materialize, ship_package
@@ -106,3 +106,10 @@ def op9_pii_spans(spark, sf):
         F.sha2(pii.span_list(F.col("pii.base")), 256).alias("base_sha256"),
         pii.span_list(F.sort_array(F.concat("pii.base", "pii.more"))).alias("spans"),
     )
+
+
+@query
+def op8_html_crf(spark, sf):
+    """Main text of every page."""
+    text = html_crf.extract(table(spark, sf, "pages"), html_crf.fit())
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
