@@ -222,7 +222,10 @@ def repeats(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, many: in
     """
     small_batches(texts.sparkSession)
     found = materialize(_cut(texts.select("tid", "bytes"), length, width))
-    hits = materialize(found.join(_keys(found), "key").groupBy("key", "tid", "sup", "start", "n", "differ").agg(F.count(F.lit(1)).alias("times")))
+    # grouped without the key, which these columns determine: the join on a hot key may then be split
+    hits = materialize(found.join(_keys(found), "key").groupBy("tid", "sup", "start", "n").agg(
+        F.min("key").alias("key"), F.max("differ").alias("differ"), F.count(F.lit(1)).alias("times")
+    ))
     mixed = hits.filter("differ")
     one = mixed.groupBy("key", "sup").agg(F.min(F.struct("tid", "start", "n")).alias("w"), F.sum("times").alias("times"))
     crowd = one.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
