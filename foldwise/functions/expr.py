@@ -37,11 +37,21 @@ def safe_ln(col: Column) -> Column:
     return F.when(col > 0, F.ln(col))
 
 
+# Date patterns beyond ISO, in the order they are tried.
+WRITTEN_DATES = ("M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+
+
 def parse_mixed_date(col: Column) -> Column:
-    """``20200131``, ``20200131.0`` and ISO text to DATE; the rest to NULL."""
+    """``20200131`` as text or any number, ISO text and the usual written forms to DATE; the rest to NULL.
+
+    A month is read before a day where both fit, as in ``3/4/2020``.
+    """
     text = F.regexp_replace(F.trim(col.cast("string")), r"\.0$", "")
-    compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
-    return F.when(text.rlike(r"^\d{8}$"), compact).otherwise(text.try_cast("date"))
+    power = F.when(text.rlike(r"^\d(\.\d+)?E7$"), text.try_cast("double").cast("long").cast("string"))
+    text = F.coalesce(power, text)
+    compact = F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
+    written = F.coalesce(text.try_cast("date"), *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in WRITTEN_DATES])
+    return F.when(text.rlike(r"^\d{8}$"), compact).otherwise(written)
 
 
 def parse_date_strict(col: Column) -> Column:

@@ -163,11 +163,19 @@ def family_inference(diffs: DataFrame, family, *, bootstrap_reps: int = 5000, si
     )
 
 
-def sign_flip_one_sided(diffs: DataFrame, family, *, exact_limit: int = 18, draws: int = 200000, seed=20260903) -> DataFrame:
-    """P(mean <= observed) under sign flips: every pattern for few folds, random ones beyond."""
+def sign_flip_one_sided(
+    diffs: DataFrame, family, *, mode: str = "by_folds", exact_limit: int = 18, draws: int = 200000, seed=20260903,
+) -> DataFrame:
+    """P(mean <= observed) under sign flips.
+
+    ``mode`` is ``exact`` (every pattern), ``random`` (``draws`` patterns) or ``by_folds``: exact
+    up to ``exact_limit`` folds.  ``patterns`` tells how many were used.
+    """
+    if mode not in ("exact", "random", "by_folds"):
+        raise ValueError(f"unknown mode {mode}")
     rows = family_rows(diffs, family).select(*family, "n", F.explode("sets").alias("s"))
     rows = rows.select(*family, F.col("s.comparison").alias("comparison"), "n", F.col("s.x").alias("x"))
-    exact = F.col("n") <= exact_limit
+    exact = F.lit(mode == "exact") if mode != "by_folds" else F.col("n") <= exact_limit
     size = F.when(exact, F.pow(F.lit(2.0), F.col("n")).cast("long")).otherwise(F.lit(draws).cast("long"))
     chunk = 4096
     spread = (

@@ -66,17 +66,22 @@ def tiled(rows: DataFrame, keys, tile: int = TILE) -> DataFrame:
         rows.select(*keys, "pos", "idx", "n_series", "value")
         .withColumn("own", own).withColumn("other", other)
         .withColumn("ti", F.least("own", "other")).withColumn("tj", F.greatest("own", "other"))
-        .select(*keys, "ti", "tj", "pos", "idx", "value")
+        .select(*keys, "ti", "tj", "pos", "idx", "n_series", "value")
     )
 
 
-def window_matrix(pdf: pd.DataFrame):
-    """Dates x series array of one group; a missing cell stops the job."""
+def tile_width(n_series: int, ti: int, tj: int, tile: int) -> int:
+    """How many series a pair of tiles holds when none is absent."""
+    return sum(min(tile, n_series - t * tile) for t in {ti, tj})
+
+
+def window_matrix(pdf: pd.DataFrame, expected: int | None = None):
+    """Dates x series array of one group; a missing cell, or a series absent from the whole group, stops the job."""
     pos, r = np.unique(pdf["pos"].to_numpy(), return_inverse=True)
     idx, c = np.unique(pdf["idx"].to_numpy(), return_inverse=True)
     x = np.full((len(pos), len(idx)), np.nan)
     x[r, c] = pdf["value"].to_numpy(dtype=float)
-    if np.isnan(x).any():
+    if np.isnan(x).any() or (expected is not None and len(idx) != expected):
         raise ValueError("window is incomplete: align the panel first")
     return x, idx
 
@@ -90,7 +95,7 @@ def co_moments(rows: DataFrame, keys, tile: int = TILE) -> DataFrame:
     """Per group of ``keys``: n, both means and the centred cross-product of each i <= j."""
 
     def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, idx = window_matrix(pdf)
+        x, idx = window_matrix(pdf, tile_width(int(pdf["n_series"].iloc[0]), key[-2], key[-1], tile))
         a, b = _tile_sides(idx, key[-2], key[-1], tile)
         mean = x.mean(axis=0)
         xc = x - mean
@@ -150,7 +155,7 @@ def offdiag_scores(rows: DataFrame, keys, variance_floor: float | None = None, t
     """
 
     def partial(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, idx = window_matrix(pdf)
+        x, idx = window_matrix(pdf, tile_width(int(pdf["n_series"].iloc[0]), key[-2], key[-1], tile))
         if len(x) < 3:
             raise ValueError("a score needs at least three rows")
         a, b = _tile_sides(idx, key[-2], key[-1], tile)

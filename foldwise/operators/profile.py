@@ -29,7 +29,7 @@ def panel_audit(panel: DataFrame) -> DataFrame:
             (1.0 - F.count("value") / F.max("n_dates")).alias("missing"),
             F.count_if(x <= 0).alias("nonpositive"),
             F.max(F.abs(safe_ln(x) - safe_ln(F.col("near")))).alias("max_log"),
-            F.max(F.abs(F.try_divide(x, F.col("near")) - 1.0)).alias("max_simple"),
+            F.max(F.when((F.col("near") == 0) & (x != 0), F.lit(float("inf"))).otherwise(F.abs(F.try_divide(x, F.col("near")) - 1.0))).alias("max_simple"),
         )
     )
     span = cal_pos.groupBy("panel_id").agg(
@@ -50,11 +50,11 @@ def panel_audit(panel: DataFrame) -> DataFrame:
 def column_date_scores(wide: DataFrame) -> DataFrame:
     """Per candidate column of a delivered table: how many values read as dates.
 
-    Columns named like dates are candidates, else the first three.  Eight-digit
+    Columns named like dates are candidates, else all of them.  Eight-digit
     numbers are read as YYYYMMDD when at least half of the column looks so.
     """
     named = [c for c in wide.columns if any(t in c.strip().lower() for t in DATE_TOKENS)]
-    candidates = named or wide.columns[:3]
+    candidates = named or wide.columns
     cells = wide.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in candidates]).unpivot([], candidates, "column", "raw")
     number = F.col("raw").try_cast("double")
     compact = F.round(number).cast("long").cast("string")

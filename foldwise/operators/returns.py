@@ -96,19 +96,26 @@ def ledger_problems(ledger: DataFrame) -> DataFrame:
     if missing:
         return spark.createDataFrame([(f"missing columns {missing}", len(missing))], "problem string, n long")
     flags = ledger.agg(
-        F.count_if(~F.col("disposition").isin(APPLY, EXCLUDE, KEEP)).alias("unknown disposition"),
+        F.count_if(~F.coalesce(F.col("disposition").isin(APPLY, EXCLUDE, KEEP), F.lit(False))).alias("unknown disposition"),
         F.count_if(
             (F.col("disposition") == APPLY) & ~F.coalesce(F.col("factor") > 0, F.lit(False))
         ).alias("factor not positive"),
     )
     keys = [c for c in ("panel_id", "date", "ticker") if c in ledger.columns]
-    doubled = duplicates = ledger.groupBy(*keys).count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate key"))
+    doubled = ledger.groupBy(*keys).count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate key"))
     both = flags.unpivot([], flags.columns, "problem", "n").unionByName(
-        doubled.unpivot([], duplicates.columns, "problem", "n")
+        doubled.unpivot([], doubled.columns, "problem", "n")
     )
     return both.filter("n > 0")
 
 
+def require_ledger(ledger: DataFrame) -> None:
+    """Stop on a ledger that would misstate or multiply returns."""
+    found = [f"{r['problem']}: {r['n']}" for r in ledger_problems(ledger).orderBy("problem").collect()]
+    if found:
+        raise ValueError(f"event ledger is not usable ({'; '.join(found)})")
+
+
 def price_events(
     pairs: DataFrame,
     ledger: DataFrame,
@@ -123,6 +130,7 @@ def price_events(
     broadcasts it only when its size allows.  Rows without an event have a NULL
     ``rule_status`` and keep the raw return.
     """
+    require_ledger(ledger)
     led = ledger.select("panel_id", F.col("date").alias("dt"), F.col("ticker").alias("series"), *LEDGER_COLUMNS[2:])
     disposition, factor, ratio = F.col("disposition"), F.col("factor"), F.col("ratio")
     large = F.abs("raw_log") >= candidate_log
@@ -201,8 +209,8 @@ def without_event_days(events: DataFrame) -> DataFrame:
     return events.filter("NOT date_touched").select("panel_id", "dt", "series", F.col("adjusted_log_return").alias("value"))
 
 
-def construction_report(prices: DataFrame, events: DataFrame) -> DataFrame:
-    """One row of counters per panel."""
+def construction_report(prices: DataFrame, events: DataFrame, limit: float = 0.40) -> DataFrame:
+    """One row of counters per panel; a panel without synchronous dates has zeros and is provisional."""
     source = prices.groupBy("panel_id").agg(
         F.countDistinct("dt").alias("source_rows_in_range"), F.countDistinct("series").alias("assets")
     )
@@ -213,7 +221,7 @@ def construction_report(prices: DataFrame, events: DataFrame) -> DataFrame:
         "verified_market_moves_retained": RETAINED,
     }
     kept = ~F.col("date_excluded")
-    open_move = kept & F.col("disposition").isNull() & (F.abs("adjusted_log_return") > 0.40)
+    open_move = kept & F.col("disposition").isNull() & (F.abs("adjusted_log_return") > limit)
     kept_date = F.when(kept, F.col("dt"))
     counts = events.groupBy("panel_id").agg(
         F.countDistinct("dt").alias("synchronous_rows"),
@@ -226,8 +234,9 @@ def construction_report(prices: DataFrame, events: DataFrame) -> DataFrame:
         F.max(kept_date).alias("last_return_date"),
         F.count_if(open_move).alias("unresolved_post_adjustment_moves"),
     )
+    numbers = [c for c, t in counts.dtypes if t == "bigint"]
     return (
-        source.join(counts, "panel_id")
+        source.join(counts, "panel_id", "left").fillna(0, numbers)
         .withColumn(
             "dropped_return_rows_due_to_missing_or_invalid_endpoint",
             F.col("source_rows_in_range") - 1 - F.col("synchronous_rows"),
@@ -236,7 +245,7 @@ def construction_report(prices: DataFrame, events: DataFrame) -> DataFrame:
         .withColumn("missing_prices_imputed", F.lit(False))
         .withColumn(
             "publication_status",
-            F.when(F.col("unresolved_post_adjustment_moves") == 0, "READY_FOR_FIXED_UNIVERSE_PRICE_RETURN_ANALYSIS")
+            F.when((F.col("unresolved_post_adjustment_moves") == 0) & (F.col("retained_return_rows") > 0), "READY_FOR_FIXED_UNIVERSE_PRICE_RETURN_ANALYSIS")
             .otherwise("PROVISIONAL_PENDING_EVENT_REVIEW"),
         )
     )

@@ -24,8 +24,10 @@ STATE = ["chosen", "objective", "score", "base_score", "active", "path"]
 STEP_TYPE = "array<struct<operation:string,driver:int,model_size:int,s_f:double,objective:double>>"
 
 
-def even_subset(index: DataFrame, asset_limit: int) -> DataFrame:
-    """Evenly spaced assets where a panel has more than the limit (half-to-even rounding)."""
+def even_subset(index: DataFrame, asset_limit: int | None) -> DataFrame:
+    """Evenly spaced assets where a panel has more than the limit (half-to-even rounding); without a limit all of them."""
+    if asset_limit is None:
+        return index.filter(F.col("role") == "asset")
     n = F.col("n_assets")
     step = (n - 1) / F.lit(asset_limit - 1)
     k = F.explode(F.sequence(F.lit(0), F.lit(asset_limit - 1)))

@@ -82,12 +82,13 @@ def estimators(
 
 def covariance_backtest(
     assets: DataFrame, drivers: DataFrame, ledger: DataFrame, *, training=(252, 504), test: int = 126,
-    floor_scale: float = 1e-6, long_only: bool = False, slots: int = 8,
+    floor_scale: float = 1e-6, long_only: bool = False, slots: int | None = None,
 ) -> dict[str, DataFrame]:
     """``assets``: complete log returns; ``drivers``: complete innovations; ``ledger``: frozen selections.
 
-    ``slots`` is the largest number of drivers a ledger row may hold.  Returns the
-    tables ``fold_results``, ``alpha_tuning``, ``daily_pnl``, ``weights``.
+    ``slots`` is the largest number of drivers a ledger row may hold, by default that of the
+    longest selection; a longer one, or a driver that the panel lacks, stops the job.  Returns
+    the tables ``fold_results``, ``alpha_tuning``, ``daily_pnl``, ``weights``.
     """
     simple = assets.withColumn("value", F.expm1("value"))
     rows, index = prepare(simple, drivers)
@@ -98,6 +99,14 @@ def covariance_backtest(
     )
     picks = materialize(portfolio.asof_selection(spans, ledger))
     selected = picks.select(*KEYS, F.posexplode("selected").alias("slot", "series"))
+    longest = picks.agg(F.max(F.size("selected"))).first()[0] or 1
+    if slots is not None and longest > slots:
+        raise ValueError(f"a selection holds {longest} drivers, more than {slots} slots")
+    slots = slots or longest
+    absent = selected.select("panel_id", "series").distinct().join(drivers.select("panel_id", "series").distinct(), ["panel_id", "series"], "left_anti")
+    lost, names = absent.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("series"))).first()
+    if lost:
+        raise ValueError(f"{lost} selected drivers are not in the panel: {names}")
     matrices, trials, alphas, tests = [], [], [], []
     for d in designs:
         placed = materialize(folds.assign_folds(rows, d, SEGMENTS))

@@ -29,7 +29,7 @@ def split_roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return y, rows.filter("role = 'driver'")
 
 
-def selection_moments(rows: DataFrame, index: DataFrame, design, segments, asset_limit: int):
+def selection_moments(rows: DataFrame, index: DataFrame, design, segments, asset_limit: int | None):
     """Training covariance over the asset subset and all drivers, renumbered; and its index."""
     keep = selection.even_subset(index, asset_limit).select("panel_id", "role", "series")
     pool = index.filter("role = 'driver'").select("panel_id", "role", "series")
@@ -88,7 +88,7 @@ def state_features(driver_rows: DataFrame, chosen: DataFrame, state: DataFrame,
 
 def evaluate_representation(
     assets: DataFrame, drivers: DataFrame, *, train: int, test: int, max_drivers: int = 6, penalty: float = 0.006,
-    asset_limit: int = 220, state: DataFrame | None = None, spectrum: bool = True,
+    asset_limit: int | None = None, state: DataFrame | None = None, spectrum: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold results and the chosen drivers (keys, slot, series).
 

@@ -18,8 +18,11 @@ def wide_to_long(wide: DataFrame, date_col: str = "date", panel_id: str = "panel
     names = [c for c in wide.columns if c != date_col]
     cells = wide.select(
         F.lit(panel_id).alias("panel_id"), parse_date_strict(F.col(f"`{date_col}`")).alias("dt"),
-        *[numeric_coerce(F.col(f"`{c}`")).alias(c) for c in names],
-    ).unpivot(["panel_id", "dt"], names, "series", "value")
+        *[numeric_coerce(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(names)],
+    ).unpivot(["panel_id", "dt"], [f"c{k}" for k in range(len(names))], "nth", "value")
+    # by number, as a name may hold a dot
+    series = F.array(*[F.lit(c) for c in names])[F.substring("nth", 2, 9).cast("int")]
+    cells = cells.select("panel_id", "dt", series.alias("series"), "value")
     return cells if keep_missing else cells.filter("value IS NOT NULL")
 
 
@@ -46,9 +49,9 @@ def missing_from_panel(panel: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def require_universe(panel: DataFrame, universe: DataFrame) -> DataFrame:
-    absent = [r["series"] for r in missing_from_panel(panel, universe).orderBy("series").take(20)]
-    if absent:
-        raise ValueError(f"universe series missing from the panel: {absent}")
+    n, absent = missing_from_panel(panel, universe).agg(F.count(F.lit(1)), F.sort_array(F.collect_set("series"))).first()
+    if n:
+        raise ValueError(f"{n} universe series missing from the panel: {absent}")
     return project_universe(panel, universe)
 
 
