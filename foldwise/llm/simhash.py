@@ -30,7 +30,7 @@ FEW = 64
 LINK_TYPE = "a long, b long"
 
 
-def text_fingerprint(text: str | None, words: int, distinct: bool = False) -> int:
+def text_fingerprint(text: str | None, words: int, distinct: bool = False, seed: int = SEED) -> int:
     """Signed 64-bit SimHash of a text's word shingles (ASCII case folded), zero without words."""
     import numpy as np
     from xxhash import xxh64_intdigest as hashed
@@ -44,9 +44,9 @@ def text_fingerprint(text: str | None, words: int, distinct: bool = False) -> in
     n = min(words, len(parts))
     cut = zip(starts[: len(parts) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
     if distinct:
-        values = [hashed(x, SEED) for x in {joined[s:e] for s, e in cut}]
+        values = [hashed(x, seed) for x in {joined[s:e] for s, e in cut}]
     else:
-        values = [hashed(joined[s:e], SEED) for s, e in cut]
+        values = [hashed(joined[s:e], seed) for s, e in cut]
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(values), 1 << 16):
         h = np.array(values[k : k + (1 << 16)], dtype=">u8")
@@ -54,8 +54,8 @@ def text_fingerprint(text: str | None, words: int, distinct: bool = False) -> in
     return int(np.packbits(2 * ones > len(values)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingles: dict[str, tuple[int, bool]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and one long column per entry of ``shingles``: name -> (words per shingle, distinct shingles only)."""
+def fingerprints(docs: DataFrame, shingles: dict[str, tuple], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and one long column per entry of ``shingles``: name -> (words per shingle, distinct shingles only, seed)."""
     small_batches(docs.sparkSession)
     thin = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_fw_text"))
     out = T.StructType([*thin.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in shingles]])
@@ -96,11 +96,12 @@ def _near(fp: Column, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(_signed(x)).cast("long") for x in flips]), lambda x: fp.bitwiseXOR(x))
 
 
-def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW) -> DataFrame:
+def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW, wide_bits: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that join the same fingerprints as all pairs within ``max_bits`` (an even number) would.
 
     ``values`` has one column of distinct fingerprints.  Up to ``few`` values under a block key
-    are joined pair by pair; larger keys go through the values half way.
+    are joined pair by pair; larger keys go through the values half way.  Pairs that met under a
+    small key are also linked up to ``wide_bits``, which adds links but promises none.
     """
     if max_bits % 2 or not 0 <= max_bits < blocks:
         raise ValueError("max_bits must be even and less than blocks")
@@ -109,7 +110,7 @@ def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW)
     shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
     cold = shared.filter(F.col("n") <= few)
     x, y = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (differing_bits(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (differing_bits(F.col("a"), F.col("b")) <= (wide_bits or max_bits))).select("a", "b")
     hot = shared.filter(F.col("n") > few).select("fp").distinct()
     met = hot.select("fp", F.explode(_near(F.col("fp"), max_bits // 2)).alias("m")).groupBy("m").agg(F.collect_set("fp").alias("s")).filter("size(s) > 1")
     stars = met.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).filter(
@@ -133,20 +134,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(linked(prints, "fp", doc_id, max_bits, blocks).drop("n_docs"), "fp")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, blocks: int = 8, agree: int = 13) -> DataFrame:
+def grouped(prints: DataFrame, fps: list[str], doc_id: str, max_bits: int, blocks: int, wide_bits: int) -> DataFrame:
+    """``prints`` with ``component_id``: rows are linked if any of their fingerprints are.
+
+    Nodes are hashes of (which fingerprint, value); a row ties its own nodes together.
+    """
+
+    def node(k: int, value: Column) -> Column:
+        return F.xxhash64(F.lit(k), value)
+
+    edges = prints.select(node(0, F.col(fps[0])).alias("a"), node(0, F.col(fps[0])).alias("b")).filter("false")
+    for k, fp in enumerate(fps):
+        found = links(materialize(prints.select(fp).distinct()), max_bits, blocks, wide_bits=wide_bits)
+        edges = edges.unionByName(found.select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b")))
+        if k:
+            edges = edges.unionByName(prints.select(node(0, F.col(fps[0])).alias("a"), node(k, F.col(fp)).alias("b")).distinct())
+    roots = components(edges).withColumnRenamed("node", "_fw_node")
+    marked = prints.withColumn("_fw_node", node(0, F.col(fps[0]))).join(roots, "_fw_node", "left").withColumn("_fw_root", F.coalesce("root", "_fw_node"))
+    marked = materialize(marked.drop("root", "_fw_node"))
+    least = marked.groupBy("_fw_root").agg(F.min(doc_id).alias("component_id"))
+    return marked.join(least, "_fw_root").drop("_fw_root")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, blocks: int = 7, wide_bits: int = 6, agree: int = 13) -> DataFrame:
     """The documents without near copies: one of each group stays, with its columns as they were.
 
     Texts of a Jaccard similarity of 0.8 or more on five-word shingles are meant.  The SimHash of
     five-word shingles scatters such pairs over up to 13 bits, too many for blocks; that of the
-    distinct words keeps them within ``max_bits`` as a rule.  So groups are found on the words'
-    fingerprint, and a document goes only if the five-word fingerprint differs from that of the
-    document that stays by at most ``agree`` bits, about what a similarity of 0.8 gives.
-    The smallest id of a group stays; of repeated rows one stays.
+    distinct words keeps most of them within ``max_bits``.  So groups are found on two words'
+    fingerprints of different seeds, and a document goes only if the five-word fingerprint differs
+    from that of the document that stays by at most ``agree`` bits, about what a similarity of 0.8
+    gives.  The smallest id of a group stays; of repeated rows one stays.
     """
     keyed = docs.withColumn("_fw_key", row_key(*docs.columns))
-    prints = fingerprints(keyed.withColumn("_fw_id", F.col(f"`{doc_id}`").cast("long")), {"fp": (1, True), "fp5": (5, False)}, text, ("_fw_key", "_fw_id"))
-    rows = materialize(prints.groupBy("_fw_key", "_fw_id", "fp", "fp5").agg(F.count(F.lit(1)).alias("times")))
-    group = rows.join(linked(rows, "fp", "_fw_id", max_bits, blocks).select("fp", "component_id"), "fp")
+    how = {"fp": (1, True, SEED), "fp2": (1, True, SEED + 1), "fp5": (5, False)}
+    prints = fingerprints(keyed.withColumn("_fw_id", F.col(f"`{doc_id}`").cast("long")), how, text, ("_fw_key", "_fw_id"))
+    rows = materialize(prints.groupBy("_fw_key", "_fw_id", "fp", "fp2", "fp5").agg(F.count(F.lit(1)).alias("times")))
+    group = grouped(rows, ["fp", "fp2"], "_fw_id", max_bits, blocks, wide_bits)
     order = F.struct(F.col("_fw_id").isNull().alias("x"), F.col("_fw_id").alias("i"), F.col("_fw_key").alias("k"), F.col("fp5").alias("f"))
     # a component without numbered documents is known by its fingerprint alone and keeps all its rows but exact repeats
     first = group.filter("component_id is not null").groupBy("component_id").agg(F.min(order).alias("first"))
