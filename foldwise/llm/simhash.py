@@ -96,11 +96,39 @@ def _near(fp: Column, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(_signed(x)).cast("long") for x in flips]), lambda x: fp.bitwiseXOR(x))
 
 
+def _forests(lists: DataFrame, most: int) -> DataFrame:
+    """Links of a spanning forest of every list's pairs within ``most`` bits: at most one per member."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for values in b.column(0).to_pylist():
+                root = list(range(len(values)))
+
+                def top(i: int, root=root) -> int:
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                for i, x in enumerate(values):
+                    for j in range(i):
+                        if ((x ^ values[j]) & ((1 << BITS) - 1)).bit_count() <= most and top(i) != top(j):
+                            root[top(i)] = top(j)
+                            out.append((values[j], x))
+            a, c = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    return lists.mapInArrow(run, LINK_TYPE)
+
+
 def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW, wide_bits: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that join the same fingerprints as all pairs within ``max_bits`` (an even number) would.
 
     ``values`` has one column of distinct fingerprints.  Up to ``few`` values under a block key
-    are joined pair by pair; larger keys go through the values half way.  Pairs that met under a
+    are compared pair by pair and give a spanning forest; larger keys go through the values half way.  Pairs that met under a
     small key are also linked up to ``wide_bits``, which adds links but promises none.
     """
     if max_bits % 2 or not 0 <= max_bits < blocks:
@@ -109,8 +137,10 @@ def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW,
     keyed = values.select(F.explode(block_keys(F.col(fp), max_bits, blocks)).alias("key"), F.col(fp).alias("fp"))
     shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
     cold = shared.filter(F.col("n") <= few)
-    x, y = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (differing_bits(F.col("a"), F.col("b")) <= (wide_bits or max_bits))).select("a", "b")
+    most = wide_bits or max_bits
+    met_by_key = cold.groupBy("key").agg(F.collect_list("fp").alias("s"))
+    two = met_by_key.filter("size(s) = 2").select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).filter(differing_bits(F.col("a"), F.col("b")) <= most)
+    pairs = two.unionByName(_forests(met_by_key.filter("size(s) > 2").select("s"), most))
     hot = shared.filter(F.col("n") > few).select("fp").distinct()
     met = hot.select("fp", F.explode(_near(F.col("fp"), max_bits // 2)).alias("m")).groupBy("m").agg(F.collect_set("fp").alias("s")).filter("size(s) > 1")
     stars = met.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).filter(
