@@ -185,7 +185,7 @@ def _crowded(pieces: DataFrame, length: int, width: int, many: int) -> DataFrame
     """Runs for the pieces of keys with many different stretches, through narrower classes; single windows are counted."""
     cut = materialize(_narrow(pieces, length, width))
     sums = cut.groupBy("key").agg(F.sum("times").alias("t"), F.min("sup").alias("low"), F.max("sup").alias("high"), F.count(F.lit(1)).alias("c")).filter("t > 1")
-    kinds = sums.select("key", ((F.col("low") != F.col("high")) & F.lit(width > 1)).alias("differ"), "c")
+    kinds = materialize(sums.select("key", ((F.col("low") != F.col("high")) & F.lit(width > 1)).alias("differ"), "c"))
     all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     known = cut.drop("piece").join(kinds, "key")
     out = known.filter("not differ").select("p_key", "p_sup", "p_at", all_of.alias("runs"))
@@ -222,8 +222,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, many: in
     """
     small_batches(texts.sparkSession)
     found = materialize(_cut(texts.select("tid", "bytes"), length, width))
-    # grouped without the key, which these columns determine: the join on a hot key may then be split
-    hits = materialize(found.join(_keys(found), "key").groupBy("tid", "sup", "start", "n").agg(
+    # the keys are a table of their own and the groups leave out the key, which their columns determine:
+    # nothing but shuffles or a broadcast of checked size meets in the join, so a hot key may be split
+    hits = materialize(found.join(materialize(_keys(found)), "key").groupBy("tid", "sup", "start", "n").agg(
         F.min("key").alias("key"), F.max("differ").alias("differ"), F.count(F.lit(1)).alias("times")
     ))
     mixed = hits.filter("differ")
