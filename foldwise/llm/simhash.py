@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.graph import components
-from foldwise.llm.text import row_key, small_batches
+from foldwise.llm.near_copies import keep_one  # noqa: F401
+from foldwise.llm.text import small_batches
 from foldwise.session import materialize
 
 BITS = 64
@@ -189,35 +190,3 @@ def grouped(prints: DataFrame, fps: list[str], doc_id: str, max_bits: int, block
     marked = materialize(marked.drop("root", "_fw_node"))
     least = marked.groupBy("_fw_root").agg(F.min(doc_id).alias("component_id"))
     return marked.join(least, "_fw_root").drop("_fw_root")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, blocks: int = 7, wide_bits: int = 6, agree: int = 13) -> DataFrame:
-    """The documents without near copies: one of each group stays, with its columns as they were.
-
-    Texts of a Jaccard similarity of 0.8 or more on five-word shingles are meant.  The SimHash of
-    five-word shingles scatters such pairs over up to 13 bits, too many for blocks; that of the
-    distinct words keeps most of them within ``max_bits``.  So groups are found on two words'
-    fingerprints of different seeds, and a document goes only if the five-word fingerprint differs
-    from that of the document that stays by at most ``agree`` bits, about what a similarity of 0.8
-    gives.  The smallest id of a group stays; of repeated rows one stays.
-    """
-    keyed = docs.withColumn("_fw_key", row_key(*docs.columns))
-    how = {"fp": (1, True, SEED), "fp2": (1, True, SEED + 1), "fp5": (5, False)}
-    prints = fingerprints(keyed.withColumn("_fw_id", F.col(f"`{doc_id}`").cast("long")), how, text, ("_fw_key", "_fw_id"))
-    rows = materialize(prints.groupBy("_fw_key", "_fw_id", "fp", "fp2", "fp5").agg(F.count(F.lit(1)).alias("times")))
-    group = grouped(rows, ["fp", "fp2"], "_fw_id", max_bits, blocks, wide_bits)
-    order = F.struct(F.col("_fw_id").isNull().alias("x"), F.col("_fw_id").alias("i"), F.col("_fw_key").alias("k"), F.col("fp5").alias("f"))
-    # a component without numbered documents is known by its fingerprint alone and keeps all its rows but exact repeats
-    first = group.filter("component_id is not null").groupBy("component_id").agg(F.min(order).alias("first"))
-    fate = group.join(first, "component_id", "left").select(
-        "_fw_key", "times",
-        (F.col("first").isNotNull() & (F.col("first.k") != F.col("_fw_key")) & (differing_bits(F.col("first.f"), F.col("fp5")) <= agree)).alias("gone"),
-    )
-    fate = materialize(fate.filter("gone or times > 1"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    stay = keyed.join(fate.filter("gone").select("_fw_key"), "_fw_key", "left_anti")
-    many = fate.filter("not gone").select("_fw_key")
-    if many.limit(1).count() == 0:
-        return stay.select(*names)
-    once = stay.join(many, "_fw_key", "left_semi").dropDuplicates(["_fw_key"]).select(*names)
-    return stay.join(many, "_fw_key", "left_anti").select(*names).unionByName(once)
