@@ -130,12 +130,11 @@ def _forests(lists: DataFrame, most: int) -> DataFrame:
     return lists.mapInArrow(run, LINK_TYPE)
 
 
-def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW, wide_bits: int | None = None) -> DataFrame:
+def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW) -> DataFrame:
     """Links ``(a, b)`` that join the same fingerprints as all pairs within ``max_bits`` (an even number) would.
 
     ``values`` has one column of distinct fingerprints.  Up to ``few`` values under a block key
-    are compared with each other and give a spanning forest; larger keys go through the values half way.  Pairs that met under a
-    small key are also linked up to ``wide_bits``, which adds links but promises none.
+    are compared with each other and give a spanning forest; larger keys go through the values half way.
     """
     if max_bits % 2 or not 0 <= max_bits < blocks:
         raise ValueError("max_bits must be even and less than blocks")
@@ -143,10 +142,9 @@ def links(values: DataFrame, max_bits: int = 2, blocks: int = 5, few: int = FEW,
     keyed = values.select(F.explode(block_keys(F.col(fp), max_bits, blocks)).alias("key"), F.col(fp).alias("fp"))
     shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
     cold = shared.filter(F.col("n") <= few)
-    most = wide_bits or max_bits
     met_by_key = cold.groupBy("key").agg(F.collect_list("fp").alias("s"))
-    two = met_by_key.filter("size(s) = 2").select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).filter(differing_bits(F.col("a"), F.col("b")) <= most)
-    pairs = two.unionByName(_forests(met_by_key.filter("size(s) > 2").select("s"), most))
+    two = met_by_key.filter("size(s) = 2").select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).filter(differing_bits(F.col("a"), F.col("b")) <= max_bits)
+    pairs = two.unionByName(_forests(met_by_key.filter("size(s) > 2").select("s"), max_bits))
     hot = shared.filter(F.col("n") > few).select("fp").distinct()
     met = hot.select("fp", F.explode(_near(F.col("fp"), max_bits // 2)).alias("m")).groupBy("m").agg(F.collect_set("fp").alias("s")).filter("size(s) > 1")
     stars = met.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).filter(
@@ -168,25 +166,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: its id, ``fp`` and ``component_id``."""
     prints = materialize(fingerprints(docs, {"fp": (words, False)}, text, (doc_id,)))
     return prints.join(linked(prints, "fp", doc_id, max_bits, blocks).drop("n_docs"), "fp")
-
-
-def grouped(prints: DataFrame, fps: list[str], doc_id: str, max_bits: int, blocks: int, wide_bits: int) -> DataFrame:
-    """``prints`` with ``component_id``: rows are linked if any of their fingerprints are.
-
-    Nodes are hashes of (which fingerprint, value); a row ties its own nodes together.
-    """
-
-    def node(k: int, value: Column) -> Column:
-        return F.xxhash64(F.lit(k), value)
-
-    edges = prints.select(node(0, F.col(fps[0])).alias("a"), node(0, F.col(fps[0])).alias("b")).filter("false")
-    for k, fp in enumerate(fps):
-        found = links(materialize(prints.select(fp).distinct()), max_bits, blocks, wide_bits=wide_bits)
-        edges = edges.unionByName(found.select(node(k, F.col("a")).alias("a"), node(k, F.col("b")).alias("b")))
-        if k:
-            edges = edges.unionByName(prints.select(node(0, F.col(fps[0])).alias("a"), node(k, F.col(fp)).alias("b")).distinct())
-    roots = components(edges).withColumnRenamed("node", "_fw_node")
-    marked = prints.withColumn("_fw_node", node(0, F.col(fps[0]))).join(roots, "_fw_node", "left").withColumn("_fw_root", F.coalesce("root", "_fw_node"))
-    marked = materialize(marked.drop("root", "_fw_node"))
-    least = marked.groupBy("_fw_root").agg(F.min(doc_id).alias("component_id"))
-    return marked.join(least, "_fw_root").drop("_fw_root")
