@@ -8,9 +8,13 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time "
-    "tt u var wbr br".split()
+    "tt u var wbr br "
+    # MathML
+    "annotation maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-UNSEEN = frozenset("script style template noscript head title svg math iframe object canvas audio video select option textarea datalist".split())
+HEAD_CONTENT = frozenset("title meta link base basefont bgsound noframes script style template noscript".split())
+UNSEEN = frozenset("script style template noscript head title svg iframe object canvas audio video select option textarea datalist".split())
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
     "section table ul".split()
@@ -50,10 +54,17 @@ class Blocks(HTMLParser):
                 self._pop(k)
                 return
 
+    def _in_head(self) -> bool:
+        """Directly in a head, whose end tag may be left out."""
+        return bool(self.stack) and self.stack[-1][0] == "head"
+
     def handle_starttag(self, tag, attrs):
         if tag == "body":
             self._flush()
             self._pop(0)  # whatever the head left open
+        elif self._in_head() and tag not in HEAD_CONTENT and tag not in ("html", "head"):
+            self._flush()
+            self._pop(len(self.stack) - 1)
         if tag not in INLINE:
             self._flush()
         if tag == "br":
@@ -85,6 +96,8 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self._in_head() and data.strip():
+            self._pop(len(self.stack) - 1)
         if self.unseen > 0 or not data:
             return
         if not self.parts or not "".join(self.parts[-1:]).strip():
