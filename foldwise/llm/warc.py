@@ -48,6 +48,11 @@ def capture_time(page_id: str = "page_id") -> Column:
     return F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def target(url: Column) -> Column:
+    """The URL as it stands in a header line and in the index: line ends are escaped."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", captured: Column | None = None,
          least: int = REVISIT_FROM) -> DataFrame:
     """One row per page with its record type, digest and what it refers to; the payload travels once."""
@@ -58,7 +63,7 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     first = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.join(first, "payload_digest", "left").select(
-        "page_id", "url", url_key(F.col("url")).alias("url_key"), "captured", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        "page_id", "url", url_key(target(F.col("url"))).alias("url_key"), "captured", F.when(again, "revisit").otherwise("response").alias("record_type"),
         "payload_bytes", "payload_digest", F.when(again, F.col("first")).alias("refers_to"), F.when(~again, F.col("payload")).otherwise("").alias("block"),
     )
 
@@ -72,10 +77,9 @@ def record() -> Column:
     def urn(c: str) -> Column:
         return F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
 
-    target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.coalesce(urn("page_id"), F.lit("<urn:page:>"))),
-        line("WARC-Date", F.col("captured")), line("WARC-Target-URI", target),
+        line("WARC-Date", F.col("captured")), line("WARC-Target-URI", target(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), line("WARC-Refers-To", urn("refers_to")),
         F.when(F.col("record_type") == "revisit", F.lit(f"WARC-Profile: {PROFILE}\r\n")).otherwise(""),
         line("Payload-Length", F.col("payload_bytes").cast("string")), F.lit("Content-Type: text/html; charset=utf-8\r\n"),
@@ -191,13 +195,14 @@ def history(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     small_batches(index.sparkSession)
     n = max(1, -(-index.count() // range_rows))
-    ordered = ["url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "offset"]
+    ordered = ["url_key", "captured", F.col("page_id").isNotNull(), "page_id", "archive", "offset"]
     ranged = index.repartitionByRange(n, *ordered).sortWithinPartitions("archive", "offset")
     names = index.columns
     at = [names.index(c) for c in ("url_key", "captured", "page_id", "archive", "offset")]
 
     def key(row):
-        return (row[at[0]], row[at[1]], -1 if row[at[2]] is None else row[at[2]])
+        number = row[at[2]]
+        return (row[at[0]], row[at[1]], number is not None, number or 0)
 
     def run(batches):
         import pyarrow as pa
