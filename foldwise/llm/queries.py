@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, html_crf, mixing, pii, preference, quality_rules, simhash, slots, suffix_dedup, warc
+from foldwise.llm import decontaminate, html_crf, mixing, pii, preference, quality_rules, simhash, slots, suffix_dedup, turn_repair, warc
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
 from foldwise.session import materialize, ship_package
@@ -113,3 +113,12 @@ def op8_html_crf(spark, sf):
     """Main text of every page."""
     text = html_crf.extract(table(spark, sf, "pages"), html_crf.fit())
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_turn_repair(spark, sf):
+    """Faults, cheapest edits and digest of the repaired turns of every damaged conversation."""
+    rows = turn_repair.damaged(table(spark, sf, "conversations"))
+    found = materialize(turn_repair.verdicts(rows, present="here"))
+    told = found.join(turn_repair.digests(rows, found, present="here"), "_fw_key")
+    return told.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
