@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, html_crf, mixing, pii, preference, quality_rules, simhash, slots, suffix_dedup, turn_repair, warc
+from foldwise.llm import (
+    decontaminate, html_crf, mixing, nested_secrets, pii, preference, quality_rules, simhash, slots, suffix_dedup, turn_repair, warc,
+)
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
 from foldwise.session import materialize, ship_package
@@ -122,3 +124,15 @@ def op11_turn_repair(spark, sf):
     found = materialize(turn_repair.verdicts(rows, present="here"))
     told = found.join(turn_repair.digests(rows, found, present="here"), "_fw_key")
     return told.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query
+def op12_secret_layers(spark, sf):
+    """Counts and spans of secrets in every document, those behind nested encodings included."""
+    seen = nested_secrets.scan(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    base = nested_secrets.base_finds(F.col("secrets"))
+    return seen.select(
+        "doc_id", *[nested_secrets.count_kind(base, k).alias(f"n_{k}") for k in nested_secrets.BASE],
+        F.sha2(nested_secrets.span_list(base), 256).alias("base_sha256"), nested_secrets.span_list(F.col("secrets")).alias("spans"),
+        (F.size("secrets") - F.size(base)).cast("long").alias("n_layered"),
+    )
