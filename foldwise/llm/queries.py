@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.llm import (
-    decontaminate, html_crf, mixing, nested_secrets, pii, preference, quality_rules, simhash, slots, suffix_dedup, turn_repair, warc,
+    decontaminate, html_crf, mixing, nested_secrets, pii, preference, quality_rules, simhash, slots, suffix_dedup, turn_repair, warc, whitening,
 )
 from foldwise.llm.checks import ORACLES
 from foldwise.llm.text import table, whole
@@ -136,3 +136,16 @@ def op12_secret_layers(spark, sf):
         F.sha2(nested_secrets.span_list(base), 256).alias("base_sha256"), nested_secrets.span_list(F.col("secrets")).alias("spans"),
         (F.size("secrets") - F.size(base)).cast("long").alias("n_layered"),
     )
+
+
+@query
+def op13_embedding_whitening(spark, sf):
+    """Up to 16 whitened components of every usable vector."""
+    rows, model, error = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    share = model.share() if model else []
+    n = F.lit(model.n if model else 0).cast("long")
+    return rows.select("vec_id", "whitened_deviation", F.posexplode("whitened").alias("k", "w")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), n.alias("n"), F.col("whitened_deviation").try_cast("long").alias("deviation"), F.col("w").alias("whitened"),
+        F.element_at(F.array(*[F.lit(s) for s in share]).cast("array<double>"), F.col("k") + 1).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"), F.col("whitened_deviation").alias("deviation_exact"),
+    )
