@@ -354,13 +354,13 @@ def sweep_rounds(name, cov, rounds, penalty):
         )
 
 
-GREEDY_PENALTY, GREEDY_ROUNDS = 0.0005, 3
+GREEDY_PENALTY, GREEDY_ROUNDS = 0.0005, 6
 sweep_rounds("g", "strcov", GREEDY_ROUNDS, GREEDY_PENALTY)
 
 
 def greedy_state(spark, sf, rounds=GREEDY_ROUNDS, penalty=GREEDY_PENALTY, backward=False):
     rows, index = aligned_rows(spark, sf)
-    return S.greedy_select(M.fold_covariance(rows, SCREEN), index, penalty=penalty, max_drivers=rounds, backward=backward), index
+    return S.greedy_select(M.fold_tiles(rows, SCREEN), index, penalty=penalty, max_drivers=rounds, backward=backward), index
 
 
 PATH_SQL = " UNION ALL ".join(
@@ -412,12 +412,7 @@ def backward_delete(spark, sf):
 def argmin_stable(spark, sf):
     """First-round scores of all candidates, lowest first by number: one driver, no penalty."""
     rows, index = aligned_rows(spark, sf)
-    packed = S.pack_moments(M.fold_covariance(rows, SCREEN), index)
-    pool = F.transform(F.sequence(F.col("n_assets"), F.col("n_series") - 1), lambda c: F.array(c))
-    scored = packed.withColumn("trials", pool).withColumn("scores", S.make_scorer(None)("tri", "n_assets", "n_series", "trials"))
-    trials = scored.select("fold_id", F.explode(F.arrays_zip("trials", "scores")).alias("t")).select(
-        "fold_id", F.col("t.trials")[0].alias("idx"), F.col("t.scores").alias("score")
-    )
+    trials = S.candidate_scores(M.fold_tiles(rows, SCREEN), index)
     return S.argmin_stable(trials, ["fold_id"], "score", "idx")
 
 

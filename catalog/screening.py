@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.alignment import state_level
 from catalog.estimation import (
-    GREEDY_PENALTY, OBSERVABLE, PATH_SQL, SCREEN, aligned_panels, aligned_rows, assigned, greedy_state, observable_features, score_sql,
+    GREEDY_PENALTY, GREEDY_ROUNDS, OBSERVABLE, PATH_SQL, SCREEN, aligned_panels, aligned_rows, assigned, greedy_state, observable_features, score_sql,
     sweep_rounds,
 )
 from catalog.inference import BOOT, SEED, SIGN, strategy_results
@@ -146,7 +146,7 @@ def screening_summary(spark, sf):
 
 @query(
     "selection_frequency",
-    sql(with_("gbest3", path=PATH_SQL), "SELECT driver AS series, count(*) AS folds_selected FROM path GROUP BY 1", "series", "folds_selected"),
+    sql(with_(f"gbest{GREEDY_ROUNDS}", path=PATH_SQL), "SELECT driver AS series, count(*) AS folds_selected FROM path GROUP BY 1", "series", "folds_selected"),
 )
 def selection_frequency(spark, sf):
     state, index = greedy_state(spark, sf)

@@ -208,3 +208,68 @@ def window_spectrum(rows: DataFrame, keys) -> DataFrame:
         ", effective_rank double, share_total double, cov_offdiag_spectral double, n_series long, offdiag_sum double, offdiag_sq double"
     )
     return rows.select(*keys, "pos", "idx", "value").groupBy(*keys).applyInPandas(spectrum, schema)
+
+
+# ---- packed tile pairs ---------------------------------------------------------------------------
+
+PACKED = "ids array<int>, n long, mean array<double>, c array<double>"
+
+
+def _paired(rows: DataFrame, keys, tile: int) -> DataFrame:
+    """Send assets to the asset tile pairs that need them and every driver to all of them."""
+    tiles = F.ceil(F.col("n_assets") / tile).cast("int")
+    every = F.sequence(F.lit(0), tiles - 1)
+    own = F.floor(F.col("idx") / tile).cast("int")
+    mine = F.transform(every, lambda o: F.struct(F.least(own, o).alias("ti"), F.greatest(own, o).alias("tj")))
+    both = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, tiles - 1), lambda j: F.struct(i.alias("ti"), j.alias("tj")))))
+    pair = F.explode(F.when(F.col("role") == "asset", mine).otherwise(both))
+    return rows.select(*keys, "pos", "idx", "n_assets", "n_series", "value", pair.alias("p")).select(
+        *keys, "p.ti", "p.tj", "pos", "idx", "n_assets", "n_series", "value"
+    )
+
+
+def tile_moments(rows: DataFrame, keys, tile: int = TILE) -> DataFrame:
+    """One row per group of ``keys`` and pair of asset tiles: series numbers, n, means and the packed cross-product.
+
+    The matrix covers the pair's assets and all drivers, so it is as wide as two tiles and the pool.
+    """
+
+    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        assets, series = int(pdf["n_assets"].iloc[0]), int(pdf["n_series"].iloc[0])
+        x, idx = window_matrix(pdf, tile_width(assets, key[-2], key[-1], tile) + series - assets)
+        mean = x.mean(axis=0)
+        xc = x - mean
+        return pd.DataFrame([{**dict(zip([*keys, "ti", "tj"], key)), "ids": idx.astype(np.int32), "n": len(x), "mean": mean, "c": (xc.T @ xc).ravel()}])
+
+    t = _paired(rows, keys, tile)
+    types = dict(t.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "ti", "tj"]) + f", {PACKED}"
+    return t.groupBy(*keys, "ti", "tj").applyInPandas(product, schema)
+
+
+def fold_tiles(rows: DataFrame, design: Design, segments=None, tile: int = TILE) -> DataFrame:
+    """Unbiased training covariance of each fold, packed per pair of asset tiles: KEYS, ti, tj, ids, n, c, tile.
+
+    Block moments are added up per fold; one group holds the blocks of one window and pair.
+    """
+    members = segments or [design.segments[0][0]]
+    offset = min(design.offset(m) for m in members)
+    length = sum(design.length(m) for m in members)
+    unit = gcd(gcd(design.step, length), offset)
+    blocks = rows.withColumn("design", F.lit(design.name)).withColumn("block", F.floor(F.col("pos") / unit).cast("long"))
+    per_block = tile_moments(blocks, ["panel_id", "design", "n_dates", "block"], tile)
+    ids = covering_folds(F.col("block") * unit, F.col("n_dates"), design, offset, length)
+    parts = per_block.withColumn("fold_id", F.explode(ids)).select(*KEYS, "ti", "tj", "ids", "n", "mean", "c")
+
+    def added(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(dtype=float)
+        ids = pdf["ids"].iloc[0]
+        means = np.stack(pdf["mean"].to_numpy())
+        centre = n @ means / n.sum()
+        away = means - centre
+        c = np.sum(np.stack(pdf["c"].to_numpy()), axis=0).reshape(len(ids), -1) + (away * n[:, None]).T @ away
+        return pd.DataFrame([{**dict(zip([*KEYS, "ti", "tj"], key)), "ids": ids, "n": int(n.sum()), "c": (c / (n.sum() - 1)).ravel()}])
+
+    types = dict(parts.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in [*KEYS, "ti", "tj"]) + ", ids array<int>, n long, c array<double>"
+    return parts.groupBy(*KEYS, "ti", "tj").applyInPandas(added, schema).withColumn("tile", F.lit(tile))

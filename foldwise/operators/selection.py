@@ -1,10 +1,11 @@
 """Greedy choice of drivers per fold, all folds at once, one Spark job per round.
 
-Scores come from the training moments alone.  The moments of a fold are packed
-once into one array row; its width is bounded by ``asset_limit`` (an own setting
-of the method, the refit always uses all assets) plus the driver pool.  The
-state (chosen drivers, objective, log) is one short row per fold and is
-checkpointed after each round, so a lost executor costs one round.
+Scores come from the training moments alone, which stay packed per (fold, pair of asset tiles):
+a task holds two tiles of assets and the driver pool, whatever the width of the panel, and one
+hot panel spreads over its tile pairs.  A round takes the chosen drivers out of each packed matrix,
+scores all candidates at once by matrix products and leaves one partial sum per candidate; the
+moments themselves are written once and never rewritten.  The state (chosen drivers, objective, log)
+is one short row per fold and is checkpointed after each round, so a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -40,76 +41,101 @@ def even_subset(index: DataFrame, asset_limit: int | None) -> DataFrame:
     return narrow.unionByName(assets.filter(n > asset_limit).join(spaced, ["panel_id", "idx"], "left_semi").select(*narrow.columns))
 
 
-def pack_moments(cov: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per fold: upper triangle in row order, asset count and size."""
-    size = index.select("panel_id", "n_assets", "n_series").distinct()
-    cells = F.array_sort(F.collect_list(F.struct("i", "j", "v")))
-    return (
-        cov.groupBy(*KEYS).agg(F.transform(cells, lambda c: c["v"]).alias("tri"))
-        .join(size, "panel_id")
-    )
+def _without(m: np.ndarray, head, place: dict, floor: np.ndarray) -> np.ndarray:
+    """The moments left when the series of ``head`` explain what they can, one after the other."""
+    for q in head:
+        p = place[int(q)]
+        if m[p, p] > floor[p]:
+            m = m - np.outer(m[:, p], m[p]) / m[p, p]
+    return m
+
+
+def _inverse_variance(raw: np.ndarray, total: np.ndarray, variance_floor: float | None) -> np.ndarray:
+    """1 / variance; a variance that is zero to rounding counts as uncorrelated, unless it is floored."""
+    if variance_floor is not None:
+        return 1.0 / np.maximum(raw, variance_floor)
+    return np.divide(1.0, raw, out=np.zeros_like(raw), where=raw > 1e-13 * np.maximum(total, 0.0))
 
 
-def _sweep(d: np.ndarray, q: int, floor: np.ndarray) -> np.ndarray:
-    """Remove the part of every series that series q explains."""
-    if d[q, q] <= floor[q]:
-        return d
-    return d - np.outer(d[:, q], d[q]) / d[q, q]
+def _added(m: np.ndarray, total: np.ndarray, a, b, drivers, floor, variance_floor) -> np.ndarray:
+    """Sum of squared residual correlations of the tile pair for each driver added to the head.
 
+    With w the inverse residual variances, (c_ij - b_i b_j / d)^2 w_i w_j is summed by expanding the
+    square, so all drivers take three matrix products.
+    """
+    d = np.diag(m)[drivers]
+    inv = np.divide(1.0, d, out=np.zeros_like(d), where=d > floor[drivers])
+    cross = m[np.ix_(a, b)]
+
+    def side(k):
+        loads = m[np.ix_(k, drivers)]
+        raw = np.diag(m)[k][:, None] - loads * loads * inv
+        return loads, raw, _inverse_variance(raw, total[k][:, None], variance_floor)
+
+    la, raw, wa = side(a)
+    lb, _, wb = side(b)
+    sums = ((cross * cross) @ wb * wa).sum(axis=0) - 2 * inv * ((cross @ (lb * wb)) * (la * wa)).sum(axis=0)
+    sums = sums + inv * inv * (la * la * wa).sum(axis=0) * (lb * lb * wb).sum(axis=0)
+    if a is b:
+        sums = (sums - ((raw * wa) ** 2).sum(axis=0)) / 2
+    return np.maximum(sums, 0.0)
 
-def _correlation_score(c: np.ndarray, variance_floor: float | None) -> float:
-    var = np.maximum(np.diag(c), 0.0 if variance_floor is None else variance_floor)
-    scale = np.sqrt(np.outer(var, var))
-    r = np.divide(c, scale, out=np.zeros_like(c), where=scale > 0)
-    np.fill_diagonal(r, 0.0)
-    n = len(c)
-    return float(np.sqrt((r * r).sum() / max(n * (n - 1), 1)))
 
+def _plain(m: np.ndarray, total: np.ndarray, a, b, variance_floor) -> float:
+    w = _inverse_variance(np.diag(m), total, variance_floor)
+    r2 = m[np.ix_(a, b)] ** 2 * w[a][:, None] * w[b]
+    return float((r2.sum() - np.trace(r2)) / 2 if a is b else r2.sum())
 
-def make_scorer(variance_floor: float | None):
-    """UDF: residual correlation score of each trial subset of drivers."""
+
+def _partial_sums(variance_floor: float | None, add: bool):
+    """UDF over packed tile pairs: a sum per driver added to the first head, or one per head."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def scorer(tri: pd.Series, n_assets: pd.Series, n_series: pd.Series, trials: pd.Series) -> pd.Series:
+    def sums(ids: pd.Series, c: pd.Series, ti: pd.Series, tj: pd.Series, n_assets: pd.Series, tile: pd.Series, heads: pd.Series) -> pd.Series:
         out = []
-        for flat, n, m, subsets in zip(tri, n_assets, n_series, trials):
-            if subsets is None or len(subsets) == 0:
-                out.append([])
-                continue
-            d = np.zeros((m, m))
-            d[np.triu_indices(m)] = flat
-            d = d + np.triu(d, 1).T
-            floor = np.maximum(np.diag(d), 0.0) * 1e-12
-            swept, scores = {}, []
-            for subset in subsets:
-                head = tuple(int(q) for q in subset[:-1])
-                if head not in swept:
-                    s = d
-                    for q in head:
-                        s = _sweep(s, q, floor)
-                    swept[head] = s
-                s = swept[head]
-                c = s[:n, :n]
-                if len(subset):
-                    q = int(subset[-1])
-                    if s[q, q] > floor[q]:
-                        c = c - np.outer(s[q, :n], s[q, :n]) / s[q, q]
-                scores.append(_correlation_score(c, variance_floor))
-            out.append(scores)
+        for names, flat, i, j, n, width, trials in zip(ids, c, ti, tj, n_assets, tile, heads):
+            names = np.asarray(names)
+            m = np.asarray(flat, dtype=float).reshape(len(names), len(names))
+            total = np.diag(m).copy()
+            floor = np.maximum(total, 0.0) * 1e-12
+            place = {int(s): k for k, s in enumerate(names)}
+            own = np.where(names < n, names // width, -1)
+            a = np.flatnonzero(own == i)
+            b = a if i == j else np.flatnonzero(own == j)
+            if add:
+                out.append(_added(_without(m, trials[0], place, floor), total, a, b, np.flatnonzero(names >= n), floor, variance_floor))
+            else:
+                out.append([_plain(_without(m, t, place, floor), total, a, b, variance_floor) for t in trials])
         return pd.Series(out)
 
-    return scorer
+    return sums
+
 
+# A state row has a few hundred bytes; up to this many folds it is sent to the tiles, beyond the tiles are shuffled to it.
+FOLDS_TO_SEND = 200_000
 
-def _best(trials, scores, penalty: float, label):
-    """Lowest (rounded objective, driver number) among the trials."""
-    rated = F.zip_with(
-        trials, scores,
-        lambda t, s: F.struct(
-            F.round(s + penalty * F.size(t), DIGITS).alias("objective"), label(t).alias("driver"), s.alias("score")
-        ),
+
+def _scores(tiles: DataFrame, asked: DataFrame, variance_floor: float | None, add: bool, send: bool) -> DataFrame:
+    """(keys, k, score) of each trial; ``asked``: keys, heads (array of driver lists)."""
+    sums = _partial_sums(variance_floor, add)("ids", "c", "ti", "tj", "n_assets", "tile", "heads")
+    part = tiles.join(F.broadcast(asked) if send else asked, KEYS).select(*KEYS, "n_assets", F.posexplode(sums).alias("k", "r2"))
+    n = F.col("n_assets")
+    return part.groupBy(*KEYS, "n_assets", "k").agg(F.sum("r2").alias("r2")).select(
+        *KEYS, "k", F.sqrt(2 * F.col("r2") / F.greatest(n * (n - 1), F.lit(1))).alias("score")
     )
-    return F.array_min(rated)
+
+
+def candidate_scores(tiles: DataFrame, index: DataFrame, variance_floor: float | None = None) -> DataFrame:
+    """Score of every driver as the first one: keys, idx, score."""
+    tiles = _sized(tiles, index)
+    asked = tiles.select(*KEYS, F.array(F.array().cast("array<int>")).alias("heads")).distinct()
+    n = index.select("panel_id", "n_assets").distinct()
+    return _scores(tiles, asked, variance_floor, True, False).join(n, "panel_id").select(*KEYS, (F.col("n_assets") + F.col("k")).alias("idx"), "score")
+
+
+def _sized(tiles: DataFrame, index: DataFrame) -> DataFrame:
+    size = index.select("panel_id", "n_assets", "n_series").distinct()
+    return materialize(tiles.join(size, "panel_id"))
 
 
 def _step(operation, driver, size, score, objective):
@@ -119,31 +145,25 @@ def _step(operation, driver, size, score, objective):
     ))
 
 
-def _round(packed: DataFrame, state: DataFrame, scorer, penalty: float, max_drivers: int, forward: bool) -> DataFrame:
+def _round(tiles: DataFrame, state: DataFrame, variance_floor, penalty: float, max_drivers: int, forward: bool, send: bool) -> DataFrame:
     chosen = F.col("chosen")
+    more = (F.size(chosen) < max_drivers) & (F.col("n_series") > F.col("n_assets")) if forward else F.size(chosen) > 0
+    heads = F.array(chosen) if forward else F.transform(chosen, lambda d: F.array_remove(chosen, d))
+    asked = state.filter(F.col("active") & more).select(*KEYS, heads.alias("heads"))
+    tried = _scores(tiles, asked, variance_floor, forward, send).join(state.select(*KEYS, "chosen", "n_assets"), KEYS)
     if forward:
-        pool = F.filter(F.sequence(F.col("n_assets"), F.col("n_series") - 1), lambda c: ~F.array_contains(chosen, c))
-        trials = F.transform(pool, lambda c: F.concat(chosen, F.array(c)))
-        may = F.col("active") & (F.size(chosen) < max_drivers) & (F.col("n_series") > F.col("n_assets"))
-        label = lambda t: F.element_at(t, -1)
+        tried = tried.withColumn("driver", F.col("n_assets") + F.col("k")).filter(~F.array_contains("chosen", F.col("driver")))
     else:
-        tagged = F.transform(chosen, lambda d: F.array_remove(chosen, d))
-        trials = tagged
-        may = F.col("active") & (F.size(chosen) > 0)
-        label = lambda t: F.element_at(F.array_except(chosen, t), 1)
-    none = F.array().cast("array<array<int>>")
-    scored = (
-        packed.join(state, KEYS)
-        .withColumn("trials", F.when(may, trials).otherwise(none))
-        .withColumn("scores", scorer("tri", "n_assets", "n_series", "trials"))
-        .withColumn("best", F.when(F.size("trials") > 0, _best(F.col("trials"), F.col("scores"), penalty, label)))
-    )
+        tried = tried.withColumn("driver", F.get("chosen", F.col("k")))
+    size = F.size(chosen) + (1 if forward else -1)
+    rated = F.struct(F.round(F.col("score") + penalty * size, DIGITS).alias("objective"), F.col("driver").alias("driver"), F.col("score").alias("score"))
+    best = tried.groupBy(*KEYS).agg(F.min(rated).alias("best"))
     better = F.coalesce(F.col("best.objective") < F.col("objective") - TOLERANCE, F.lit(False))
     driver = F.col("best.driver")
     after = F.concat(chosen, F.array(driver)) if forward else F.array_remove(chosen, driver)
     step = _step("ADD" if forward else "DELETE", driver, F.size(after), F.col("best.score"), F.col("best.objective"))
-    return scored.select(
-        *KEYS,
+    return state.join(best, KEYS, "left").select(
+        *KEYS, "n_assets", "n_series",
         F.when(better, after).otherwise(chosen).alias("chosen"),
         F.when(better, F.col("best.objective")).otherwise(F.col("objective")).alias("objective"),
         F.when(better, F.col("best.score")).otherwise(F.col("score")).alias("score"),
@@ -154,27 +174,29 @@ def _round(packed: DataFrame, state: DataFrame, scorer, penalty: float, max_driv
 
 
 def greedy_select(
-    cov: DataFrame, index: DataFrame, *, penalty: float, max_drivers: int, backward: bool = False,
+    tiles: DataFrame, index: DataFrame, *, penalty: float, max_drivers: int, backward: bool = False,
     variance_floor: float | None = None,
 ) -> DataFrame:
     """Forward selection, then backward deletion if asked; one row per fold.
 
-    ``cov``: training covariance over assets (first numbers) and drivers.
+    ``tiles``: training moments as from :func:`moments.fold_tiles`, over assets (first numbers) and drivers.
     """
-    scorer = make_scorer(variance_floor)
-    packed = materialize(pack_moments(cov, index))
-    nothing = F.array(F.array().cast("array<int>"))
-    state = packed.withColumn("base_score", scorer("tri", "n_assets", "n_series", nothing)[0]).select(
-        *KEYS, F.array().cast("array<int>").alias("chosen"), F.col("base_score").alias("objective"),
+    tiles = _sized(tiles, index)
+    fold = tiles.select(*KEYS, "n_assets", "n_series").distinct()
+    nothing = fold.select(*KEYS, F.array(F.array().cast("array<int>")).alias("heads"))
+    base = _scores(tiles, nothing, variance_floor, False, False).select(*KEYS, F.col("score").alias("base_score"))
+    state = materialize(fold.join(base, KEYS).select(
+        *KEYS, "n_assets", "n_series", F.array().cast("array<int>").alias("chosen"), F.col("base_score").alias("objective"),
         F.col("base_score").alias("score"), "base_score", F.lit(True).alias("active"), F.array().cast(STEP_TYPE).alias("path"),
-    )
+    ))
+    send = state.count() <= FOLDS_TO_SEND
     for forward in [True, False] if backward else [True]:
         state = state.withColumn("active", F.lit(True))
         for _ in range(max_drivers):
-            state = materialize(_round(packed, state, scorer, penalty, max_drivers, forward))
+            state = materialize(_round(tiles, state, variance_floor, penalty, max_drivers, forward, send))
             if not state.filter("active").take(1):
                 break
-    return state
+    return state.drop("n_assets", "n_series")
 
 
 def named_selection(state: DataFrame, index: DataFrame) -> DataFrame:

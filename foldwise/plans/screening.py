@@ -30,12 +30,12 @@ def split_roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def selection_moments(rows: DataFrame, index: DataFrame, design, segments, asset_limit: int | None):
-    """Training covariance over the asset subset and all drivers, renumbered; and its index."""
+    """Packed training moments over the asset subset and all drivers, renumbered; and their index."""
     keep = selection.even_subset(index, asset_limit).select("panel_id", "role", "series")
     pool = index.filter("role = 'driver'").select("panel_id", "role", "series")
     narrow = moments.series_index(keep.unionByName(pool))
     slim = rows.drop("idx", "n_series", "n_assets").join(narrow, ["panel_id", "role", "series"])
-    return moments.fold_covariance(slim, design, segments), narrow
+    return moments.fold_tiles(slim, design, segments), narrow
 
 
 def metrics(rows: DataFrame, keys, floor: float | None, spectrum: bool = True) -> DataFrame:
@@ -96,8 +96,8 @@ def evaluate_representation(
     """
     design = folds.two_segment(train, test, first_id=0)
     rows, index = prepare(assets, drivers)
-    cov, narrow = selection_moments(rows, index, design, ["training"], asset_limit)
-    chosen_state = selection.greedy_select(cov, narrow, penalty=penalty, max_drivers=max_drivers, variance_floor=FLOOR)
+    tiles, narrow = selection_moments(rows, index, design, ["training"], asset_limit)
+    chosen_state = selection.greedy_select(tiles, narrow, penalty=penalty, max_drivers=max_drivers, variance_floor=FLOOR)
     chosen = materialize(selection.named_selection(chosen_state, narrow))
     placed = folds.assign_folds(rows, design)
     y, x = split_roles(placed)
@@ -224,8 +224,8 @@ def screen_certify_test(
         "development": ["selection", "certification"], "test": ["test"],
     }
     rows, index = prepare(assets, drivers)
-    cov = moments.fold_covariance(rows, design, ["selection"])
-    state = selection.greedy_select(cov, index, penalty=penalty, max_drivers=max_drivers, backward=True)
+    tiles = moments.fold_tiles(rows, design, ["selection"])
+    state = selection.greedy_select(tiles, index, penalty=penalty, max_drivers=max_drivers, backward=True)
     chosen = materialize(selection.named_selection(state, index))
     placed = folds.assign_folds(rows, design, segments)
     y, x = split_roles(placed)

@@ -57,7 +57,9 @@ def test_planted_drivers_are_found(panel, planted):
     assert all("d0" in row["selected_drivers"].split(" | ") and row["delta_s_f"] < 0 for row in rows)
 
 
-def test_forward_and_backward_equal_brute_force(panel):
+@pytest.mark.parametrize("tile", [2, 256])
+def test_forward_and_backward_equal_brute_force(panel, tile):
+    """Tiles of two assets and one tile for all give the choices of full refits."""
     rng = np.random.default_rng(11)
     base = rng.normal(size=(90, 3))
     x = np.column_stack([base.sum(axis=1) + 0.3 * rng.normal(size=90), base, rng.normal(size=90)])
@@ -65,7 +67,7 @@ def test_forward_and_backward_equal_brute_force(panel):
     d = FD.Design("x", [("training", 50), ("test", 20)], step=20)
     rows, index = SC.prepare(*panels(panel, y, x))
     for penalty in (0.0, 0.002, 0.02):
-        state = S.greedy_select(M.fold_covariance(rows, d), index, penalty=penalty, max_drivers=5, backward=True)
+        state = S.greedy_select(M.fold_tiles(rows, d, tile=tile), index, penalty=penalty, max_drivers=5, backward=True)
         for r in state.collect():
             lo = (r["fold_id"] - 1) * 20
             chosen, path = brute(y[lo:lo + 50], x[lo:lo + 50], penalty, 5, True)
@@ -73,6 +75,25 @@ def test_forward_and_backward_equal_brute_force(panel):
             assert [(p["operation"], p["driver"] - 5) for p in r["path"]] == path
 
 
+def test_tiled_scores_equal_direct_ones():
+    """Partial sums of tile pairs against residual correlations, with a constant asset, a floor and a driver that is spent."""
+    rng = np.random.default_rng(21)
+    z = rng.normal(size=(60, 9))
+    z[:, 3] = 1.0
+    z[:, 8] = z[:, 7] * 2
+    m = np.cov(z, rowvar=False)
+    total, floor = np.diag(m).copy(), np.diag(m) * 1e-12
+    left = S._without(m, [7], {k: k for k in range(9)}, floor)
+    for head, mat in (((), m), ((7,), left)):
+        for vf in (None, 1e-3):
+            a, b, drivers = np.arange(3), np.arange(3, 6), np.arange(6, 9)
+            for x, y in ((a, b), (a, a), (b, b)):
+                got = S._added(mat, total, x, y, drivers, floor, vf)
+                for k, q in enumerate(drivers):
+                    after = S._without(mat, [q], {k: k for k in range(9)}, floor)
+                    assert got[k] == pytest.approx(S._plain(after, total, x, y, vf), abs=1e-11)
+
+
 def test_screening_with_state_equals_brute_force(panel, planted):
     y, x = planted
     rng = np.random.default_rng(8)
