@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.alignment import type_returns
 from catalog.estimation import aligned_panels, fold_rows
+from catalog import inputs as I
 from catalog.inputs import cte, staged, with_
 from catalog.registry import query, sql
 from foldwise.operators import calendar as C
@@ -13,6 +14,7 @@ from foldwise.operators import covariance as CV
 from foldwise.operators import folds as FD
 from foldwise.operators import moments as M
 from foldwise.operators import portfolio as PF
+from foldwise.operators import selection as S
 from foldwise.plans import backtest as B
 from foldwise.plans import screening as SC
 from foldwise.session import materialize
@@ -333,12 +335,16 @@ def asof_frozen_selection(spark, sf):
     return picks.select("design", "fold_id", "training_end", "source_fold", F.array_join("selected", " | ").alias("selected_drivers"))
 
 
-def run_backtest(spark, sf, long_only=False):
+@I.staged("backtest")
+def backtest(spark, sf):
+    """All eleven methods, both designs and both constraints, run once for the queries that report on it."""
     y, x = aligned_panels(spark, sf)
     ledger = frozen_ledger(C.positions(C.calendar(y)))
-    return B.covariance_backtest(y, x, ledger, training=(TRAIN,), test=TEST, slots=2, long_only=long_only)
+    out = B.covariance_backtest(y, x, ledger, training=(52, TRAIN), test=TEST, constraints=("unconstrained", "long_only"))
+    return {k: materialize(v) for k, v in out.items()}
 
 
+FREE = "portfolio_constraint = 'unconstrained'"
 LINEAR = ["equal_weight", "sample_covariance", "ridge_10pct", "ledoit_wolf", "oas_shrinkage"]
 
 
@@ -347,21 +353,29 @@ LINEAR = ["equal_weight", "sample_covariance", "ridge_10pct", "ledoit_wolf", "oa
     sql(with_("risk2"), "SELECT * FROM risk2", "method initial_formation", "fold_id", RISK_NUM),
 )
 def covariance_backtest(spark, sf):
-    """The full loop; the rows of the methods SQL can follow (all eleven: covariance_backtest_all)."""
-    r = run_backtest(spark, sf)["fold_results"].filter(F.col("method").isin(LINEAR))
+    """The full loop; the rows of the methods and the design SQL can follow (all: covariance_backtest_all)."""
+    r = backtest(spark, sf)["fold_results"].filter(F.col("method").isin(LINEAR) & (F.col("design") == str(TRAIN))).filter(FREE)
     return r.select("method", "initial_formation", "fold_id", *RISK_NUM.split())
 
 
 @query("covariance_backtest_all")
 def covariance_backtest_all(spark, sf):
-    r = run_backtest(spark, sf)["fold_results"]
-    return r.select("design", "fold_id", "method", "initial_formation", "chosen_alpha", *RISK_NUM.split())
+    """Eleven methods, both designs; checked by brute force in the tests."""
+    r = backtest(spark, sf)["fold_results"].filter(FREE)
+    return r.select("design", "fold_id", "method", "initial_formation", "chosen_alpha", "eigen_floor_activated", *RISK_NUM.split())
 
 
 @query("covariance_backtest_long_only")
 def covariance_backtest_long_only(spark, sf):
-    r = run_backtest(spark, sf, long_only=True)["fold_results"]
-    return r.select("design", "fold_id", "method", "initial_formation", "chosen_alpha", *RISK_NUM.split())
+    r = backtest(spark, sf)["fold_results"].filter("portfolio_constraint = 'long_only'")
+    return r.select("design", "fold_id", "method", "initial_formation", "chosen_alpha", "eigen_floor_activated", *RISK_NUM.split())
+
+
+@query("fold_summary_all")
+def fold_summary_all(spark, sf):
+    """Eleven methods, both designs and constraints, with the floor share and the median alpha."""
+    out = backtest(spark, sf)
+    return B.fold_summary(out["fold_results"], out["daily_pnl"]).drop("panel_id")
 
 
 SUMMARY = (
@@ -409,18 +423,10 @@ cte(
 
 
 def alpha_trials(spark, sf):
-    from foldwise.operators import regress as RG
-    from foldwise.operators import selection as S
-
-    rows, index = simple_rows(spark, sf)
-    d = B.tuning_design(TRAIN, TEST)
-    placed = materialize(FD.assign_folds(rows, d, B.SEGMENTS))
-    y, x = SC.split_roles(placed)
+    rows, _ = simple_rows(spark, sf)
+    placed = materialize(FD.assign_folds(rows, B.tuning_design(TRAIN, TEST)))
     named = S.fixed_selection(placed.select(*M.KEYS).distinct(), ["1-URGENT", "BUILDING"])
-    z = RG.feature_columns(RG.selected_features(x, named), 2).filter("segment = 'fit'").drop("segment")
-    cov = M.fold_covariance(SC.split_roles(rows)[0], d, ["fit"])
-    pair = CV.structured(cov, RG.fit_betas(y.filter("segment = 'fit'"), z, 2), 2)
-    return B.tune_alpha(materialize(pair), y.filter("segment = 'validate'"))
+    return B.fold_books(B.training_windows(placed, named), methods=()).filter("kind = 'trial'")
 
 
 @query("tune_alpha", sql(with_("trial"), "SELECT * FROM trial", "", "fold_id", "alpha validation_variance"))

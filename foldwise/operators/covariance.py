@@ -117,28 +117,6 @@ def blend(pair: DataFrame, alpha: DataFrame) -> DataFrame:
     return pair.join(alpha, KEYS).withColumn("v", (1 - a) * F.col("v") + a * F.col("full")).drop("full")
 
 
-def linear_family(pair: DataFrame, stats: DataFrame, alpha: DataFrame) -> DataFrame:
-    """All estimators that are cell arithmetic, in one pass over the long matrix.
-
-    ``pair`` as from :func:`structured`; ``stats``: keys, tr, p, t, lw, oas.
-    """
-    full, a, eye = F.col("full"), F.col("alpha"), diagonal()
-    f = (F.col("t") - 1) / F.col("t")
-    mean = F.col("tr") / F.col("p")
-    toward = lambda w: (1 - F.col(w)) * full * f + F.when(eye, F.col(w) * mean * f).otherwise(0.0)
-    forms = {
-        "equal_weight": full, "sample_covariance": full,
-        "ridge_10pct": 0.9 * full + F.when(eye, 0.1 * mean).otherwise(0.0),
-        "ledoit_wolf": toward("lw"), "oas_shrinkage": toward("oas"),
-        "structured_q0": F.col("v"), "residual_aware_qr": (1 - a) * F.col("v") + a * full,
-    }
-    cell = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), x.alias("x")) for m, x in forms.items()]))
-    return (
-        pair.join(stats.join(alpha, KEYS), KEYS).select(*KEYS, "i", "j", cell.alias("c"))
-        .select(*KEYS, F.col("c.method").alias("method"), "i", "j", F.col("c.x").alias("v"))
-    )
-
-
 def _per_fold(cov: DataFrame, fn, columns, schema=MATRIX) -> DataFrame:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(key, pdf)
@@ -164,23 +142,6 @@ def leading_plus_diagonal(cov: DataFrame, factors: DataFrame) -> DataFrame:
     return _per_fold(cov.join(factors, KEYS), run, [*CELLS, "k"])
 
 
-def eigen_family(cov: DataFrame, factors: DataFrame) -> DataFrame:
-    """The eigenvalue estimators of a fold from one decomposition: keys, method, i, j, v."""
-
-    def run(key, pdf):
-        m, k = kernels.dense(pdf), int(pdf["k"].iloc[0])
-        s = kernels.spectrum(m)
-        made = {
-            "nonlinear_shrinkage_qis": kernels.quadratic_inverse(s, int(pdf["n"].iloc[0])),
-            "pca_matched": kernels.leading_plus_diagonal(m, s, k),
-            "pca_plus_two": kernels.leading_plus_diagonal(m, s, k + 2),
-        }
-        return pd.concat([kernels.cells(KEYS, key, x, method=name) for name, x in made.items()])
-
-    out = _per_fold(cov.join(factors, KEYS), run, [*CELLS, "n", "k"], MATRIX + ", method string")
-    return out.select(*KEYS, "method", "i", "j", "v")
-
-
 def thresholded_factors(rows: DataFrame, factors: DataFrame, constant: float = 0.5) -> DataFrame:
     """From the training rows themselves (fourth moments of residuals are needed)."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.functions.expr import total
+from foldwise.operators.kernels import correlation_inverse
 from foldwise.operators.moments import KEYS
 
 SCALE_FLOOR = 1e-12
@@ -41,16 +42,7 @@ def selected_features(driver_rows: DataFrame, selection: DataFrame) -> DataFrame
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def scaled_inverse(gram: pd.Series, size: pd.Series) -> pd.Series:
     """Inverse of a feature covariance by way of its correlation; minimum norm when singular."""
-    out = []
-    for flat, m in zip(gram, size):
-        g = np.asarray(flat, dtype=float).reshape(m, m)
-        sd = np.sqrt(np.maximum(np.diag(g), 0.0))
-        sd = np.where(sd > SCALE_FLOOR, sd, 1.0)
-        w, q = np.linalg.eigh(g / np.outer(sd, sd))
-        keep = w > max(w.max(initial=0.0), 0.0) * m * np.finfo(float).eps * 10
-        inv = (q[:, keep] / w[keep]) @ q[:, keep].T
-        out.append((inv / np.outer(sd, sd)).ravel())
-    return pd.Series(out)
+    return pd.Series([correlation_inverse(np.asarray(g, dtype=float).reshape(m, m)).ravel() for g, m in zip(gram, size)])
 
 
 def fit_betas(y_fit: DataFrame, z_fit: DataFrame, slots: int, keys=KEYS) -> DataFrame:

@@ -194,36 +194,76 @@ def test_floor_reports_activation():
     assert not K.floored(np.eye(2), 1e-6)[1]
 
 
-@pytest.mark.parametrize("long_only", [False, True])
-def test_backtest_equals_brute_force(spark, panel, planted, long_only):
+def fold_matrices(r, z, k):
+    """The eleven estimators written out one by one."""
+    t, n = r.shape
+    s = np.cov(r, rowvar=False)
+    s0, rc = s * (t - 1) / t, r - r.mean(axis=0)
+    mu = np.trace(s0) / n
+    delta = ((s0 - mu * np.eye(n)) ** 2).sum() / n
+    spread = np.mean([((np.outer(v, v) - s0) ** 2).sum() for v in rc]) / t / n
+    lw = min(spread, delta) / delta
+    a = (s0 * s0).mean()
+    oas = min(1.0, (a + mu * mu) / ((t + 1) * (a - mu * mu / n)))
+    e = ols(r, z, r, z)
+    q0 = s - np.cov(e, rowvar=False)
+    np.fill_diagonal(q0, np.diag(s))
+    lam, q = np.linalg.eigh(s)
+
+    def pca(j):
+        low = (q[:, -j:] * lam[-j:]) @ q[:, -j:].T
+        return low + np.diag(np.maximum(np.diag(s) - np.diag(low), 0))
+
+    return s, q0, {
+        "equal_weight": s, "sample_covariance": s, "ridge_10pct": 0.9 * s + 0.1 * np.trace(s) / n * np.eye(n),
+        "ledoit_wolf": (1 - lw) * s0 + lw * mu * np.eye(n), "oas_shrinkage": (1 - oas) * s0 + oas * mu * np.eye(n),
+        "nonlinear_shrinkage_qis": K.quadratic_inverse((lam, q), t), "pca_matched": pca(min(k, n - 1)), "pca_plus_two": pca(min(k + 2, n - 1)),
+        "poet_soft_c0_5": K.thresholded_factors(r, k), "structured_q0": q0,
+    }
+
+
+def test_backtest_equals_brute_force(spark, panel, planted):
+    """Every method, two designs and both constraints against matrices written out one by one."""
     y, x = planted
     y = y * 0.01
     ledger = spark.createDataFrame([("p", 1, day(20), ["d0", "d1"])], "panel_id string, source_fold long, certification_end date, selected array<string>")
-    out = B.covariance_backtest(*panels(panel, y, x), ledger, training=(40,), test=20, slots=2, long_only=long_only)
-    got = {(r["method"], r["fold_id"]): r for r in out["fold_results"].collect()}
-    assert len(got) == 11 * 4
+    out = B.covariance_backtest(*panels(panel, y, x), ledger, training=(28, 40), test=20, constraints=("unconstrained", "long_only"))
+    got = {(r["portfolio_constraint"], r["design"], r["method"], r["fold_id"]): r for r in out["fold_results"].collect()}
+    trials = {(r["design"], r["fold_id"], r["alpha"]): r["validation_variance"] for r in out["alpha_tuning"].collect()}
+    assert len(got) == 2 * 11 * 4 + 2 * 11 * 4 and len(trials) == 2 * 4 * len(B.ALPHAS)
     r = np.expm1(y)
-    solve = K.long_only_weights if long_only else K.unconstrained_weights
-    before = None
-    for k in range(1, 5):
-        lo = (k - 1) * 20
-        s, test = np.cov(r[lo:lo + 40], rowvar=False), r[lo + 40:lo + 60]
-        w = solve(0.9 * s + 0.1 * np.trace(s) / 6 * np.eye(6))
-        row = got["ridge_10pct", k]
-        assert row["realized_variance"] == pytest.approx((test @ w).var(ddof=1), rel=1e-6)
-        assert row["turnover"] == pytest.approx(np.abs(w).sum() if before is None else np.abs(w - before).sum(), rel=1e-5)
-        assert row["initial_formation"] == (before is None)
-        grown = w * (1 + test).prod(axis=0)
-        before = grown / grown.sum()
-        z = x[lo:lo + 40][:, :2]
-        a = np.column_stack([np.ones(40), z])
-        e = r[lo:lo + 40] - a @ np.linalg.lstsq(a, r[lo:lo + 40], rcond=None)[0]
-        q0 = s - np.cov(e, rowvar=False) + np.diag(np.diag(np.cov(e, rowvar=False)))
-        w0 = solve(q0)
-        assert got["structured_q0", k]["predicted_variance"] == pytest.approx(w0 @ q0 @ w0, rel=1e-6)
-        assert got["residual_aware_qr", k]["chosen_alpha"] in B.ALPHAS
+    for train in (28, 40):
+        before = {}
+        for k in range(1, 5):
+            lo = (k - 1) * 20
+            own, z, test = r[lo:lo + train], x[lo:lo + train, :2], r[lo + train:lo + train + 20]
+            fit = int(0.75 * train)
+            sf, qf, _ = fold_matrices(own[:fit], z[:fit], 2)
+            tuned = {a: (own[fit:] @ K.unconstrained_weights(K.floored((1 - a) * qf + a * sf, 1e-6)[0])).var(ddof=1) for a in B.ALPHAS}
+            for a, v in tuned.items():
+                assert trials[str(train), k, a] == pytest.approx(v, rel=1e-7)
+            alpha = min((v, a) for a, v in tuned.items())[1]
+            s, q0, made = fold_matrices(own, z, 2)
+            made["residual_aware_qr"] = (1 - alpha) * q0 + alpha * s
+            for name, m in made.items():
+                m, hit = K.floored(m, 1e-6)
+                for constraint, solve in (("unconstrained", K.unconstrained_weights), ("long_only", K.long_only_weights)):
+                    w = np.full(6, 1 / 6) if name == "equal_weight" else solve(m)
+                    row = got[constraint, str(train), name, k]
+                    real = (test @ w).var(ddof=1)
+                    assert row["realized_variance"] == pytest.approx(real, rel=1e-6)
+                    assert row["predicted_variance"] == pytest.approx(w @ m @ w, rel=1e-6)
+                    assert row["qlike"] == pytest.approx(np.log(w @ m @ w) + real / (w @ m @ w), rel=1e-6)
+                    assert row["gross_exposure"] == pytest.approx(np.abs(w).sum(), rel=1e-6) and row["eigen_floor_activated"] == hit
+                    old = before.get((constraint, name))
+                    assert row["turnover"] == pytest.approx(np.abs(w).sum() if old is None else np.abs(w - old).sum(), rel=1e-5, abs=1e-7)
+                    assert row["initial_formation"] == (old is None)
+                    assert row["chosen_alpha"] == (alpha if name == "residual_aware_qr" else None)
+                    grown = w * (1 + test).prod(axis=0)
+                    before[constraint, name] = grown / grown.sum()
     summary = B.fold_summary(out["fold_results"], out["daily_pnl"]).collect()
-    assert len(summary) == 11 and all(row["eigen_floor_activation_fraction"] == 0 for row in summary)
+    assert len(summary) == 2 * 2 * 11 and all(row["eigen_floor_activation_fraction"] == 0 for row in summary)
+    assert all((row["median_chosen_alpha"] is not None) == (row["method"] == "residual_aware_qr") for row in summary)
 
 
 def test_missing_selection_stops_the_job(spark):
