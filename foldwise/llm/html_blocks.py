@@ -14,7 +14,7 @@ INLINE = frozenset(
     "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 HEAD_CONTENT = frozenset("title meta link base basefont bgsound noframes script style template noscript".split())
-UNSEEN = frozenset("script style template noscript head title svg iframe object canvas audio video select option textarea datalist".split())
+UNSEEN = frozenset("script style template noscript head title svg iframe object canvas audio video select option textarea datalist button".split())
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
     "section table ul".split()

@@ -25,9 +25,9 @@ from foldwise.llm.html_blocks import leaf_blocks
 from foldwise.llm.html_training import page
 from foldwise.llm.text import small_batches
 
-TRAIN_PAGES = 600
-STEPS = 150
-RIDGE = 3e-3
+TRAIN_PAGES = 900
+STEPS = 250
+RIDGE = 1e-3
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 # Words that mark what is not an article, in the page languages.
 _CUES = re.compile(r"©|copyright|cookie|all rights|subscribe|newsletter|advertis|sponsor|sign in|log ?in|privacy|datenschutz|droits|derechos|share|related|comment", re.I)
@@ -52,20 +52,24 @@ def path_features(path: tuple) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def text_features(text: str, linked: int, nth: int, count: int) -> tuple[str, ...]:
-    """Features of a block's text and place, as names of bins."""
+def text_features(text: str, linked: int, count: int) -> tuple[str, ...]:
+    """Features of a block's text, as names of bins."""
     n = text.count(" ") + 1
     share = linked / max(1, len(text))
     return (
         "words:" + ("1" if n == 1 else "3" if n < 4 else "10" if n < 11 else "30" if n < 31 else "more"),
         "links:" + ("none" if share == 0 else "some" if share < 0.5 else "most"),
         "ends:" + ("stop" if text[-1] in ".!?:;\"'»”" else "open"), "cue" if _CUES.search(text) else "no_cue",
-        "first" if nth == 0 else "last" if nth == count - 1 else "middle",
+        "only" if count == 1 else "one_of_many",
     )
 
 
 def block_features(blocks: list) -> list[tuple[str, ...]]:
-    return [path_features(p) + text_features(t, a, k, len(blocks)) for k, (p, t, a) in enumerate(blocks)]
+    """Features of every block; where a page has an article or main element, blocks outside it are told apart."""
+    paths = [path_features(p) for p, _, _ in blocks]
+    marked = any("in_article" in p for p in paths)
+    place = lambda p: ("beside_article",) if marked and "in_article" not in p else ()
+    return [p + place(p) + text_features(t, a, len(blocks)) for p, (_, t, a) in zip(paths, blocks)]
 
 
 class Chain:

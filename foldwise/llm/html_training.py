@@ -16,6 +16,8 @@ NOTES = ['<div class="cookie-notice">', '<div id="consent">', '<div class="gdpr
 ADS = ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<div id="ad-slot">', '<aside class="ad-box">', '<div class="banner-ad">', '<ins class="adsbygoogle">']
 TALKS = ['<div class="comments">', '<section id="comments">', '<ol class="commentlist">', '<div id="disqus_thread">', '<div class="comment-section">', '<ul class="responses">', '<div class="discussion">', '<section class="reader-comments">', '<div class="replies">']
 FORMS = ["<form>", '<form class="search">', '<div class="newsletter"><form>', '<form id="subscribe">', '<div class="login"><form>', '<div class="signup">', '<fieldset>']
+HIDDEN = ['<div style="display:none">', '<p hidden>', '<div aria-hidden="true">', '<span style="display: none">', '<section hidden>']
+LINES = ["All rights reserved.", "Read more about this below.", "Share what you know.", "Comment is free.", "Copyright law is old.", "Subscribe!", "Related work.", "Cookie.", "Yes.", "Short."]
 SHORT = ["Home", "About us", "Contact", "Read more", "Share", "Sign in", "Subscribe", "Next", "Older posts", "Search", "Privacy", "Terms", "Menu", "Reply"]
 
 
@@ -58,12 +60,19 @@ class Draw:
                 out.append((f"<table><tr><td>{self.text(1, 4)}</td></tr></table>", 1))
             else:
                 out.append((f"<p>{self.text(3, 20)} <a href='/x'>{self.text(1, 4)}</a> {self.text(3, 20)}</p>", 1))
-            if self.r.random() < 0.06:
-                out += self.part(self.r.choice([ADS, ADS, SIDES, FORMS, NOTES]))
+            if self.r.random() < 0.08:  # words of other parts may stand in an article as well
+                out.append((f"<p>{self.r.choice(LINES)}</p>", 1))
+            if self.r.random() < 0.1:
+                out += self.part(self.r.choice([ADS, ADS, SIDES, FORMS, NOTES, HIDDEN, HIDDEN]))
         return out
 
-    def part(self, names: list[str]) -> list[tuple[str, int]]:
+    def unnamed(self, shell: str) -> str:
+        """The part's shell under a name that no list has."""
+        return f'<{self.r.choice(["div", "section", "div"])} class="{self.r.choice(self.words)}-{self.r.choice(self.words)}">' if shell.startswith(("<div", "<section", "<ins")) else shell
+
+    def part(self, names: list[str], strange: bool = False) -> list[tuple[str, int]]:
         shell = self.r.choice(names)
+        shell = self.unnamed(shell) if strange else shell
         n = self.r.randint(1, 6 if names in (NAVS, TALKS) else 3)
         if names is NAVS:
             inner = [f"<li><a href='/x'>{self.r.choice(SHORT) if self.r.random() < 0.5 else self.text(1, 3)}</a></li>" for _ in range(n)]
@@ -82,13 +91,23 @@ class Draw:
 
 
 def page(seed: int) -> tuple[list[str], list[int]]:
-    """Pieces of HTML of one page in order, and for each piece whether its text belongs to the article."""
+    """Pieces of HTML of one page in order, and for each piece whether its text belongs to the article.
+
+    Some pages are one block, with or without tags; around an article or main element, some parts have names that no list has.
+    """
     d = Draw(seed)
+    if d.r.random() < 0.05:
+        return ["", d.text(1, 80), ""], [0, 1, 0]
     shell = d.r.choice(SHELLS)
-    before = [p for names, chance in ((NOTES, 0.35), (TOPS, 0.5), (NAVS, 0.8), (ADS, 0.5), (FORMS, 0.2), (SIDES, 0.25)) if d.r.random() < chance for p in d.part(names)]
-    after = [p for names, chance in ((TALKS, 0.5), (SIDES, 0.5), (ADS, 0.3), (FORMS, 0.3), (NAVS, 0.2), (FEET, 0.85), (NOTES, 0.2)) if d.r.random() < chance for p in d.part(names)]
-    inside = d.article()
-    tail = d.part(d.r.choice([SIDES, TALKS, ADS])) if d.r.random() < 0.2 else []
+    shell = d.unnamed(shell) if d.r.random() < 0.2 and not shell.startswith("<div class=\"container") and shell.count("<") == 1 else shell
+    short = d.r.random() < 0.15
+    alone = short and d.r.random() < 0.5
+    strange = lambda: shell.startswith(("<article", "<main")) and d.r.random() < 0.3
+    drawn = lambda parts: [] if alone else [p for names, chance in parts if d.r.random() < chance for p in d.part(names, strange())]
+    before = [] if d.r.random() < 0.25 else drawn(((NOTES, 0.35), (TOPS, 0.45), (NAVS, 0.65), (ADS, 0.45), (FORMS, 0.2), (SIDES, 0.25), (HIDDEN, 0.1)))
+    after = [] if d.r.random() < 0.1 else drawn(((TALKS, 0.5), (SIDES, 0.5), (ADS, 0.3), (FORMS, 0.3), (NAVS, 0.2), (FEET, 0.75), (NOTES, 0.2), (HIDDEN, 0.1)))
+    inside = [(f"<p>{d.text(1, d.r.choice([3, 60]))}</p>", 1)] if short else d.article()
+    tail = d.part(d.r.choice([SIDES, TALKS, ADS])) if d.r.random() < 0.2 and not alone else []
     pieces = [*before, (shell, None), *inside, *tail, (_close(shell), None), *after]
     wrap = d.r.random() < 0.3
     head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{d.text(2, 8)}</title><script>var a="</p>";</script></head><body>' + ('<div class="wrapper">' if wrap else "")
