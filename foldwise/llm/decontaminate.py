@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.text import small_batches
+from foldwise.session import materialize
 
 ERRORS = 0.08
 BLOCK_BYTES = 8 << 20
@@ -125,12 +126,12 @@ def _spans(starts: list[int], gap: int):
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, limit: int):
-    """Lists of items of about ``limit`` bytes, read one after the other."""
+    """(items, is there only this one) of blocks of about ``limit`` bytes, read one after the other."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     n = -(-size // limit) or 1
     for b in range(n):
         got = items.filter(F.pmod(F.xxhash64(F.col(item_id), F.col(text)), F.lit(n)) == b).select(item_id, text).collect()
-        yield sorted(((r[0], r[1]) for r in got if r[1]), key=lambda r: (r[0] is None, r[0], r[1]))
+        yield sorted(((r[0], r[1]) for r in got if r[1]), key=lambda r: (r[0] is None, r[0], r[1])), n == 1
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -157,8 +158,10 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         return run
 
     out = None
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    for block, alone in _blocks(items, item_id, item_text, block_bytes):
         part = thin.mapInArrow(scanner(block), schema)
+        # a block's items leave the driver with its stored result
+        part = part if alone else materialize(part)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -180,6 +183,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
         return run
 
     out = docs
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    for block, alone in _blocks(items, item_id, item_text, block_bytes):
         out = out.mapInArrow(keeper(block), docs.schema)
+        out = out if alone else materialize(out)
     return out

@@ -99,7 +99,9 @@ def multipliers(sizes: DataFrame, goal: DataFrame, cap: int = CAP, steps: int =
                 F.when(F.col("done"), F.col("hi")).otherwise(F.col("hi2")).alias("hi"), "free", (F.col("done") | met).alias("done"),
             ).coalesce(1)
         )
-    return state
+    # a source whose target is still missed stops the job where its row is read
+    missed = F.raise_error(F.concat(F.lit("no multiplier found for source "), F.col("_fw_source"))).cast("double")
+    return state.withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(missed))
 
 
 def whole_copies(sizes: DataFrame, state: DataFrame, cap: int = CAP, repairs: int = 3) -> DataFrame:
@@ -136,13 +138,14 @@ def whole_copies(sizes: DataFrame, state: DataFrame, cap: int = CAP, repairs: in
 
 def with_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP,
                 size: str | None = None) -> DataFrame:
-    """All rows and columns plus ``_fw_size``, ``_fw_source_size``, ``_fw_target`` and ``_fw_copies``.
+    """All rows and columns plus ``_fw_size``, ``_fw_source_size``, ``_fw_target`` and ``_fw_copies`` (names the input must not have).
 
-    ``size`` names a column that already holds the word counts.  Inside a size the copies go to the
-    documents in hash order, through at most ``BUCKETS`` hash buckets, so that a size with a third
-    of all rows is ranked in pieces.
+    ``size`` names a column that already holds the word counts; ``text`` may then be any column that
+    stands for the text.  Inside a size the copies go to the documents in the order of a hash of id
+    and text, through at most ``BUCKETS`` hash buckets, so that a size with a third of all rows, or
+    rows without ids, are ranked in pieces.  Rows that share all of this are alike.
     """
-    rank = F.xxhash64(F.col(f"`{doc_id}`"), F.lit("mix"))
+    rank = F.xxhash64(F.col(f"`{doc_id}`"), F.lit("mix"), F.col(f"`{text}`"))
     keyed = docs.select(
         "*", source_key(source).alias("_fw_source"), (F.col(size) if size else word_count(F.col(f"`{text}`"))).alias("_fw_size"),
         rank.alias("_fw_rank"),
@@ -159,12 +162,15 @@ def with_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         (F.expr("(upto * pmod(k, n)) div n - ((upto - nb) * pmod(k, n)) div n")).alias("_fw_extra"),
     )
     key = ["_fw_source", "_fw_size", "_fw_bucket"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("_fw_rank", F.col(f"`{doc_id}`")))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("_fw_rank", F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
     out = keyed.join(share, key).withColumn("_fw_copies", F.col("_fw_base") + (place <= F.col("_fw_extra")).cast("long"))
     return out.drop("_fw_source", "_fw_rank", "_fw_bucket", "_fw_base", "_fw_extra")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with its columns as they were."""
-    taken = with_copies(docs, doc_id, text, source, weights, cap).filter("_fw_copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_fw_copies").cast("int"))).alias("_fw_copy")).drop("_fw_copy")
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    taken = with_copies(renamed, names[doc_id], names[text], names[source], weights, cap).filter("_fw_copies > 0")
+    repeated = taken.select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("_fw_copies").cast("int"))).alias("_fw_copy"))
+    return repeated.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -52,8 +52,8 @@ def op5_slot_shards(spark, sf):
 @query
 def op7_entropy_mix(spark, sf):
     """Words that the mixture takes of every document."""
-    thin = materialize(table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
-    return mixing.with_copies(thin, size="size").select(
+    thin = materialize(table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
+    return mixing.with_copies(thin, text="text_hash", size="size").select(
         "doc_id", "size", F.col("_fw_source_size").alias("source_size"), F.col("_fw_target").alias("target"),
         (F.col("_fw_copies") * F.col("size")).alias("taken"),
     )

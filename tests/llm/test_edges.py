@@ -139,3 +139,38 @@ def test_suffixes(docs, empty):
     by = {r.doc_id: r for r in got.collect() if r.doc_id}
     assert by[1].n_bytes == 0 and bytes(by[4].kept) == b"" and bytes(by[2].kept) == b"" and len(by[5].spans) == 1
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_mixing_without_ids_agrees_on_any_partitioning(spark):
+    """Null ids and rows with equal ids and different texts: hashed buckets, the same copies in every rerun."""
+    rows = [(None, f"word{k} two three", "web") for k in range(3000)] + [(7, f"other{k} two three", "book") for k in range(900)] + [(None, "x y", None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(r.text for r in mixing.mix(df.repartition(n, F.rand(n))).collect()) for n in (3, 11))
+    assert a == b and len(set(a)) > 1000
+    size = mixing.with_copies(df)
+    keyed = df.select(F.pmod(F.xxhash64("doc_id", F.lit("mix"), "text"), F.lit(mixing.BUCKETS)).alias("b")).distinct().count()
+    assert keyed > 1500 and {r["_fw_target"] for r in size.collect()}
+
+
+def test_a_missed_target_stops_the_job(spark):
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), f"s{k % 2}") for k in range(50)], "doc_id long, text string, source string")
+    sizes = df.select(mixing.source_key().alias("_fw_source"), mixing.word_count(F.col("text")).alias("_fw_size")).groupBy("_fw_source", "_fw_size").agg(F.count("*").alias("n"))
+    goal = mixing.targets(sizes)
+    assert mixing.multipliers(sizes, goal).filter("lam IS NOT NULL").count() == 2
+    with pytest.raises(Exception, match="no multiplier found"):
+        mixing.multipliers(sizes, goal, steps=1).collect()
+
+
+def test_reserved_looking_columns_are_kept(spark, docs):
+    odd = docs.selectExpr("*", "'a' AS _fw_size", "'b' AS _fw_key", "'c' AS _fw_copies", "'d' AS _fw_copy", "'e' AS c0")
+    for out in (mixing.mix(odd), simhash.keep_one(odd)):
+        assert out.columns == odd.columns
+        assert {(r["_fw_size"], r["_fw_key"], r["_fw_copy"], r["c0"]) for r in out.collect()} == {("a", "b", "d", "e")}
+
+
+def test_items_in_several_blocks(spark, docs):
+    items = spark.createDataFrame([(k, f"item {k} " + GOOD * 2) for k in range(4)] + [(9, GOOD * 2)], "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.matches(docs, items).collect()))
+    many = sorted(map(tuple, decontaminate.matches(docs, items, block_bytes=200).collect()))
+    assert one == many and one
+    assert decontaminate.clean(docs, items, block_bytes=200).count() == decontaminate.clean(docs, items).count()
