@@ -71,7 +71,8 @@ def boot_cte(name, diffs, reps, seed, by="design"):
     )
 
 
-BOOT, SIGN = 1000, 2000
+# Replicates as published, for the families and for the extended ones.
+BOOT, SIGN, MORE_BOOT = 5000, 20000, 20000
 boot_cte("boot", "diffs", BOOT, SEED)
 cte(
     "flips", "psum",
@@ -124,13 +125,13 @@ def fold_bootstrap_ci(spark, sf):
 def maxt_simultaneous_ci(spark, sf):
     d = diffs(spark, sf)
     means = materialize(IN.bootstrap_means(d, FAMILY, BOOT, SEED))
-    return IN.simultaneous_ci(means, IN.paired_summary(d, FAMILY), FAMILY)
+    return IN.simultaneous_ci(d, means, FAMILY, BOOT, SEED)
 
 
 @query("signflip_maxt", sql(with_("flips"), P_SQL, ID, num="sign_flip_p_raw sign_flip_p_familywise"))
 def signflip_maxt(spark, sf):
     d = diffs(spark, sf)
-    return IN.sign_flip_p(d, IN.paired_summary(d, FAMILY), FAMILY, SIGN, SEED)
+    return IN.sign_flip_p(d, FAMILY, SIGN, SEED)
 
 
 def exact_sql(diffs_name, by):
@@ -201,7 +202,7 @@ cte(
     "SELECT 'training_vs_test' AS family, a.panel_id AS comparison, a.fold_id, a.s_f - b.s_f AS diff, row_number() OVER (PARTITION BY a.panel_id ORDER BY a.fold_id) - 1 AS pos, count(*) OVER (PARTITION BY a.panel_id) AS n "
     "FROM twosf a JOIN twosf b ON a.panel_id = b.panel_id AND a.fold_id = b.fold_id AND a.seg = 'training' AND b.seg = 'test'",
 )
-boot_cte("twoboot", "twodiff", BOOT, SEED + 1, "family")
+boot_cte("twoboot", "twodiff", MORE_BOOT, SEED + 1, "family")
 cte("twop", "twodiff", exact_sql("twodiff", "family"))
 
 
@@ -224,7 +225,7 @@ def inference_extended(spark, sf):
         F.lit("training_vs_test").alias("family"), F.col("panel_id").alias("comparison"), "fold_id",
         (F.col("training") - F.col("test")).alias("diff"),
     )
-    return IN.extended_inference(d, ["family"], bootstrap_reps=BOOT, seed=SEED + 1)
+    return IN.extended_inference(d, ["family"], bootstrap_reps=MORE_BOOT, seed=SEED + 1).drop("patterns")
 
 
 @query(

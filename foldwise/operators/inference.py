@@ -57,11 +57,14 @@ def paired_summary(diffs: DataFrame, family) -> DataFrame:
     return base.withColumn("standard_error", checked).withColumn("t", F.col("mean_difference") / F.col("standard_error"))
 
 
-def family_rows(diffs: DataFrame, family) -> DataFrame:
-    """One row per family: fold count and the value array of each comparison."""
+def family_rows(diffs: DataFrame, family, extra: DataFrame | None = None) -> DataFrame:
+    """One row per family: fold count and, for each comparison, its value array and the columns of ``extra`` (family, comparison, ...)."""
+    by = [*family, "comparison"]
     values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "diff"))), lambda s: s["diff"])
-    per = diffs.groupBy(*family, "comparison").agg(values.alias("x"), F.max("n").alias("n"))
-    return per.groupBy(*family, "n").agg(F.collect_list(F.struct("comparison", "x")).alias("sets"))
+    per = diffs.groupBy(*by).agg(values.alias("x"), F.max("n").alias("n"))
+    more = [c for c in extra.columns if c not in by] if extra is not None else []
+    per = per.join(extra, by) if extra is not None else per
+    return per.groupBy(*family, "n").agg(F.collect_list(F.struct("comparison", "x", *more)).alias("sets"))
 
 
 def replicates(families: DataFrame, count: int, chunk: int = CHUNK) -> DataFrame:
@@ -81,17 +84,22 @@ def _places() -> Column:
     return F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
 
 
+def _resampled(families: DataFrame, reps: int, seed, tag: str) -> DataFrame:
+    """Family rows per replicate, with the mean of every comparison over the folds drawn (shared by all of them) as ``means``."""
+    draw = F.transform(_places(), lambda p: hash_draw(F.col("n"), F.lit(tag), _seed(seed), F.col("rep"), p))
+    total = lambda x: F.aggregate("draw", F.lit(0.0), lambda acc, d: acc + F.get(x, d))
+    return replicates(families, reps).withColumn("draw", draw).withColumn("means", F.transform("sets", lambda s: total(s["x"]) / F.col("n")))
+
+
 def bootstrap_means(diffs: DataFrame, family, reps: int, seed, tag: str = "boot") -> DataFrame:
     """Mean of each resampled fold set: family, comparison, rep, mean.
 
     The folds drawn are shared by all comparisons of the family.
     """
-    drawn = replicates(family_rows(diffs, family), reps).withColumn(
-        "draw", F.transform(_places(), lambda p: hash_draw(F.col("n"), F.lit(tag), _seed(seed), F.col("rep"), p))
+    drawn = _resampled(family_rows(diffs, family), reps, seed, tag)
+    return drawn.select(*family, "rep", F.explode(F.arrays_zip("sets.comparison", "means")).alias("s")).select(
+        *family, F.col("s.comparison").alias("comparison"), "rep", F.col("s.means").alias("mean")
     )
-    per = drawn.select(*family, "rep", "n", "draw", F.explode("sets").alias("s"))
-    total = F.aggregate("draw", F.lit(0.0), lambda acc, d: acc + F.get("s.x", d))
-    return per.select(*family, F.col("s.comparison").alias("comparison"), "rep", (total / F.col("n")).alias("mean"))
 
 
 def bootstrap_ci(means: DataFrame, family) -> DataFrame:
@@ -102,52 +110,60 @@ def bootstrap_ci(means: DataFrame, family) -> DataFrame:
     )
 
 
-def simultaneous_ci(means: DataFrame, summary: DataFrame, family) -> DataFrame:
-    """Estimate +- critical x bootstrap error, critical from the family's largest |t|."""
+def simultaneous_ci(diffs: DataFrame, means: DataFrame, family, reps: int, seed, tag: str = "boot") -> DataFrame:
+    """Estimate +- critical x bootstrap error, critical from the family's largest |t|.
+
+    ``means``: the replicates' means, as from :func:`bootstrap_means` with the same draws; they give the errors.
+    The errors then ride on the family's row, so a replicate finds its own largest |t| where it is
+    drawn and one number per replicate is left to summarise: nothing meets on the family's key.
+    """
+    family = list(family)
     spread = means.groupBy(*family, "comparison").agg(F.greatest(F.stddev_samp("mean"), F.lit(EPS)).alias("bse"))
-    est = summary.select(*family, "comparison", "mean_difference").join(spread, [*family, "comparison"])
-    t = F.abs((F.col("mean") - F.col("mean_difference")) / F.col("bse"))
-    critical = (
-        means.join(est, [*family, "comparison"]).groupBy(*family, "rep").agg(F.max(t).alias("top"))
-        .groupBy(*family).agg(F.percentile("top", 0.95).alias("critical"))
+    families = materialize(family_rows(diffs, family, spread))
+    centre = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.size(x)
+    off = F.zip_with("means", "sets", lambda m, s: F.abs((m - centre(s["x"])) / s["bse"]))
+    critical = _resampled(families, reps, seed, tag).select(*family, F.array_max(off).alias("top")).groupBy(*family).agg(
+        F.percentile("top", 0.95).alias("critical")
     )
-    reach = F.col("critical") * F.col("bse")
-    return est.join(critical, list(family)).select(
-        *family, "comparison", (F.col("mean_difference") - reach).alias("simultaneous_ci_lower"),
-        (F.col("mean_difference") + reach).alias("simultaneous_ci_upper"),
+    each = families.select(*family, F.explode("sets").alias("s")).join(critical, family)
+    reach = F.col("critical") * F.col("s.bse")
+    return each.select(
+        *family, F.col("s.comparison").alias("comparison"), (centre(F.col("s.x")) - reach).alias("simultaneous_ci_lower"),
+        (centre(F.col("s.x")) + reach).alias("simultaneous_ci_upper"),
     )
 
 
-def sign_flip_p(diffs: DataFrame, summary: DataFrame, family, reps: int, seed, tag: str = "sign") -> DataFrame:
+def sign_flip_p(diffs: DataFrame, family, reps: int, seed, tag: str = "sign") -> DataFrame:
     """Two-sided raw and familywise p-values from random signs per fold.
 
-    Signs are shared within the family.  The sum of squares does not change with
-    the signs, so a replicate only needs its mean.
+    Signs are shared within the family.  The sum of squares does not change with the signs, so a
+    replicate only needs its means.  The family's row carries the observed |t| of every comparison;
+    a replicate compares its own |t| and its largest one with them on the spot, so only counts
+    leave a task.
     """
-    drawn = replicates(family_rows(diffs, family), reps).withColumn(
-        "sign", F.transform(_places(), lambda p: hash_draw(2, F.lit(tag), _seed(seed), F.col("rep"), p) * 2 - 1)
-    )
-    per = drawn.select(*family, "rep", "n", "sign", F.explode("sets").alias("s"))
-    products = F.zip_with("sign", "s.x", lambda a, b: a * b)
+    family = list(family)
     add = lambda acc, v: acc + v
-    squares = F.aggregate("s.x", F.lit(0.0), lambda acc, v: acc + v * v)
-    per = per.select(
-        *family, "rep", "n", F.col("s.comparison").alias("comparison"),
-        (F.aggregate(products, F.lit(0.0), add) / F.col("n")).alias("m"), squares.alias("ss"),
-    )
-    variance = (F.col("ss") - F.col("n") * F.col("m") * F.col("m")) / (F.col("n") - 1)
-    t = F.abs(F.when(variance > 0, F.col("m") / F.sqrt(variance / F.col("n"))).otherwise(0.0))
-    scored = per.withColumn("t", t)
-    observed = summary.select(*family, "comparison", (F.abs("t") * (1 - TIE)).alias("t_obs"))
-    raw = scored.join(observed, [*family, "comparison"]).groupBy(*family, "comparison").agg(
-        ((F.count_if(F.col("t") >= F.col("t_obs")) + 1) / (reps + 1)).alias("sign_flip_p_raw")
-    )
-    tops = scored.groupBy(*family, "rep").agg(F.max("t").alias("top"))
-    # every observed t meets every replicate's maximum: comparisons x replicates of one family
-    adjusted = tops.join(observed, list(family)).groupBy(*family, "comparison").agg(
-        ((F.count_if(F.col("top") >= F.col("t_obs")) + 1) / (reps + 1)).alias("sign_flip_p_familywise")
+
+    def size_of_t(mean, squares, n):
+        variance = (squares - n * mean * mean) / (n - 1)
+        return F.abs(F.when(variance > 0, mean / F.sqrt(variance / n)).otherwise(0.0))
+
+    def described(s):
+        squares = F.aggregate(s["x"], F.lit(0.0), lambda acc, v: acc + v * v)
+        mean = F.aggregate(s["x"], F.lit(0.0), add) / F.size(s["x"])
+        return F.struct(s["comparison"].alias("comparison"), s["x"].alias("x"), squares.alias("ss"), (size_of_t(mean, squares, F.size(s["x"])) * (1 - TIE)).alias("seen"))
+
+    families = materialize(family_rows(diffs, family).withColumn("sets", F.transform("sets", described)))
+    sign = F.transform(_places(), lambda p: hash_draw(2, F.lit(tag), _seed(seed), F.col("rep"), p) * 2 - 1)
+    flipped = lambda s: F.aggregate(F.zip_with("sign", s["x"], lambda a, b: a * b), F.lit(0.0), add) / F.col("n")
+    drawn = replicates(families, reps).withColumn("sign", sign).withColumn(
+        "t", F.transform("sets", lambda s: size_of_t(flipped(s), s["ss"], F.col("n")))
+    ).withColumn("top", F.array_max("t"))
+    hits = F.explode(F.zip_with("sets", "t", lambda s, t: F.struct(s["comparison"].alias("comparison"), (t >= s["seen"]).alias("raw"), (F.col("top") >= s["seen"]).alias("all"))))
+    return drawn.select(*family, hits.alias("h")).groupBy(*family, F.col("h.comparison").alias("comparison")).agg(
+        ((F.count_if(F.col("h.raw")) + 1) / (reps + 1)).alias("sign_flip_p_raw"),
+        ((F.count_if(F.col("h.all")) + 1) / (reps + 1)).alias("sign_flip_p_familywise"),
     )
-    return raw.join(adjusted, [*family, "comparison"])
 
 
 def family_inference(diffs: DataFrame, family, *, bootstrap_reps: int = 5000, sign_reps: int = 20000, seed=20260902) -> DataFrame:
@@ -155,14 +171,25 @@ def family_inference(diffs: DataFrame, family, *, bootstrap_reps: int = 5000, si
     family = list(family)
     by = [*family, "comparison"]
     summary = paired_summary(diffs, family)
-    means = bootstrap_means(diffs, family, bootstrap_reps, seed)
+    means = materialize(bootstrap_means(diffs, family, bootstrap_reps, seed))
     return (
         summary.join(bootstrap_ci(means, family).drop("bootstrap_se"), by)
-        .join(simultaneous_ci(means, summary, family), by)
-        .join(sign_flip_p(diffs, summary, family, sign_reps, seed), by)
+        .join(simultaneous_ci(diffs, means, family, bootstrap_reps, seed), by)
+        .join(sign_flip_p(diffs, family, sign_reps, seed), by)
     )
 
 
+def metric_families(results: DataFrame, by, metrics, reference: str, method: str = "method", fold: str = "fold_id") -> DataFrame:
+    """Paired differences of every metric as families of their own: ``by``, metric, comparison, fold, pos, n, diff."""
+    long = results.select(*by, fold, method, *[F.col(m).cast("double") for m in metrics]).unpivot([*by, fold, method], list(metrics), "metric", "value")
+    return paired_differences(long, [*by, "metric"], reference, "value", method, fold)
+
+
+def seeded(diffs: DataFrame, family, seed: int) -> Column:
+    """A seed for each family: ``seed`` plus a hash of its names, the same on every run."""
+    return F.lit(seed) + F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in family])), 1, 4), 16, 10).cast("long")
+
+
 def sign_flip_one_sided(
     diffs: DataFrame, family, *, mode: str = "by_folds", exact_limit: int = 18, draws: int = 200000, seed=20260903,
 ) -> DataFrame:
@@ -261,8 +288,10 @@ def spearman(rows: DataFrame, keys, x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def extended_inference(diffs: DataFrame, family, *, fold: str = "fold_id", bootstrap_reps: int = 20000, draws: int = 200000, seed=20260903) -> DataFrame:
-    """Bootstrap interval, one-sided sign-flip p and Holm adjustment per family.
+def extended_inference(
+    diffs: DataFrame, family, *, fold: str = "fold_id", bootstrap_reps: int = 20000, draws: int = 200000, seed=20260903, mode: str = "by_folds",
+) -> DataFrame:
+    """Bootstrap interval, one-sided sign-flip p (with the number of patterns and the ``mode`` of :func:`sign_flip_one_sided`) and Holm adjustment per family.
 
     ``diffs``: family, comparison, fold, diff (rows without a difference drop out).
     Comparisons of a family may cover different numbers of folds.
@@ -280,5 +309,5 @@ def extended_inference(diffs: DataFrame, family, *, fold: str = "fold_id", boots
     ci = bootstrap_ci(bootstrap_means(placed, family, bootstrap_reps, seed), family).select(
         *by, F.col("bootstrap_ci_lower").alias("ci_low"), F.col("bootstrap_ci_upper").alias("ci_high")
     )
-    p = sign_flip_one_sided(placed, family, draws=draws, seed=seed).select(*by, "p_value")
+    p = sign_flip_one_sided(placed, family, mode=mode, draws=draws, seed=seed).select(*by, "patterns", "p_value")
     return holm(mean.join(ci, by).join(p, by), family)
