@@ -298,6 +298,36 @@ def panel_audit(spark, sf):
     return PR.panel_audit(I.px_two(spark, sf))
 
 
+_DELIVERED = (
+    "SELECT o_orderpriority AS panel_id, o_orderkey AS row_no, CASE WHEN o_orderkey % 10 < 9 THEN CAST(o_orderdate AS DATE) END AS dt, CASE WHEN o_orderkey % 10 < 8 THEN o_totalprice END AS price, "
+    "CAST(NULL AS DOUBLE) AS void FROM orders UNION ALL SELECT 'sorted', row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey), CAST(o_orderdate AS DATE), o_totalprice, NULL FROM orders"
+)
+
+
+@query(
+    "delivered_audit",
+    sql(
+        f"WITH d AS ({_DELIVERED})",
+        "SELECT panel_id, count(*) AS n_rows, 3 AS n_columns, count(*) FILTER (dt IS NULL AND price IS NULL) AS empty_rows, 1 AS empty_columns, min(dt) AS date_min, max(dt) AS date_max, count(dt) AS date_valid_rows, "
+        "count(dt) - count(DISTINCT dt) AS duplicate_dates, bool_and(coalesce(before <= dt, true)) AS monotonic_dates FROM (SELECT *, lag(dt IGNORE NULLS) OVER (PARTITION BY panel_id ORDER BY row_no) AS before FROM d) q GROUP BY 1",
+        "panel_id date_min date_max monotonic_dates", "n_rows n_columns empty_rows empty_columns date_valid_rows duplicate_dates",
+    ),
+)
+def delivered_audit(spark, sf):
+    """Orders as they lie, a table per priority, and once more in date order."""
+    o = I.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("dt"), "o_totalprice", "o_orderpriority")
+    rest = F.col("o_orderkey") % 10
+    as_is = o.select(
+        F.col("o_orderpriority").alias("panel_id"), F.struct(F.lit(None).cast("date").alias("d"), F.col("o_orderkey").alias("k")).alias("row_no"), F.when(rest < 9, F.col("dt")).alias("dt"),
+        F.when(rest < 8, F.col("o_totalprice")).alias("price"), F.lit(None).cast("double").alias("void"),
+    )
+    by_date = o.select(
+        F.lit("sorted").alias("panel_id"), F.struct(F.col("dt").alias("d"), F.col("o_orderkey").alias("k")).alias("row_no"), "dt", F.col("o_totalprice").alias("price"),
+        F.lit(None).cast("double").alias("void"),
+    )
+    return PR.delivered_audit(as_is.unionByName(by_date), ["panel_id"], "row_no", "dt")
+
+
 # ---------------------------------------------------------------- positions and folds
 
 cte("tw", "px_type_w_ret", "SELECT * FROM px_type_w_ret")

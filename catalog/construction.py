@@ -416,3 +416,78 @@ def union_events(spark, sf):
     audit = R.event_audit(brand_events(spark, sf))
     both = audit.filter("is_candidate").unionByName(audit.filter("NOT is_candidate"))
     return both.groupBy("rule_status", "is_candidate").agg(F.count("*").alias("n"), F.sum("adjusted_log_return").alias("total"))
+
+
+# ---------------------------------------------------------------- a delivered CSV with broken records
+
+# every 7th day of the year a field too many, every 11th no date, every 13th a word where a number belongs
+_DAY = "CAST(strftime(dt, '%j') AS INTEGER)"
+CSV_ROWS = (
+    "SELECT CAST(o_orderdate AS DATE) AS dt, count(*) AS orders, sum(o_totalprice) AS price, max(o_totalprice) AS top FROM orders GROUP BY 1"
+)
+_CSV_KIND = f"CASE WHEN {_DAY} % 7 = 0 THEN 'long' WHEN {_DAY} % 11 = 0 THEN 'undated' WHEN {_DAY} % 13 = 0 THEN 'worded' ELSE 'good' END"
+
+
+def delivered_csv(spark, sf):
+    """Daily order totals as gzip CSV files, as they might come in, some records broken."""
+    o = I.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("dt"), "o_totalprice")
+    day = F.dayofyear("dt")
+    rows = o.groupBy("dt").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("price"), F.max("o_totalprice").alias("top"))
+    text = lambda c: F.col(c).cast("string")
+    kind = F.when(day % 7 == 0, "long").when(day % 11 == 0, "undated").when(day % 13 == 0, "worded").otherwise("good")
+    made = rows.withColumn("kind", kind).select(
+        F.when(F.col("kind") == "undated", F.lit("n/a")).otherwise(text("dt")).alias("date"), text("orders").alias("orders"),
+        F.when(F.col("kind") == "worded", F.lit("none")).otherwise(text("price")).alias("price"),
+        F.when(F.col("kind") == "long", F.concat(text("top"), F.lit(",extra"))).otherwise(text("top")).alias("top"),
+    )
+    path = f"{checkpoint_dir(spark)}/delivered-{uuid.uuid4().hex}"
+    lines = made.select(F.concat_ws(",", "date", "orders", "price", "top").alias("value"))
+    # a header in every file, as separate deliveries have
+    head = F.lit("date,orders,price,top\n")
+    files = lines.withColumn("file", F.pmod(F.xxhash64("value"), F.lit(6))).groupBy("file").agg(F.concat(head, F.array_join(F.collect_list("value"), "\n")).alias("value"))
+    files.write.partitionBy("file").option("compression", "gzip").text(path)
+    return P.read_wide_checked(spark, f"{path}/*", "date", "orders")
+
+
+_CSV_CELLS = " UNION ALL ".join(
+    f"SELECT 'orders' AS panel_id, dt, '{c}' AS series, {x} AS value FROM w WHERE kind IN ('good', 'worded')"
+    for c, x in (("orders", "CAST(orders AS DOUBLE)"), ("price", "CASE WHEN kind = 'worded' THEN NULL ELSE price END"), ("top", "top"))
+)
+
+
+@query("panel_scan_csv", sql(f"WITH w AS (SELECT *, {_CSV_KIND} AS kind FROM ({CSV_ROWS}) q)", _CSV_CELLS, "panel_id dt series", num="value"))
+def panel_scan_csv(spark, sf):
+    """Gzip CSV files read back permissively; broken records go to panel_scan_rejects."""
+    return delivered_csv(spark, sf)[0]
+
+
+@query(
+    "panel_scan_rejects",
+    sql(
+        f"WITH w AS (SELECT *, {_CSV_KIND} AS kind FROM ({CSV_ROWS}) q)",
+        "SELECT CASE kind WHEN 'undated' THEN 'date' WHEN 'worded' THEN 'price' END AS column_name, CASE kind WHEN 'long' THEN 'wrong number of fields' WHEN 'undated' THEN 'not a date' ELSE 'not a number' END AS reason, "
+        "count(*) AS records FROM w WHERE kind <> 'good' GROUP BY 1, 2",
+        "column_name reason", "records",
+    ),
+)
+def panel_scan_rejects(spark, sf):
+    rejects = delivered_csv(spark, sf)[1]
+    return rejects.groupBy(F.col("column").alias("column_name"), "reason").agg(F.count("record").alias("records"))
+
+
+def sink_round_trip(spark, sf, kind):
+    path = f"{checkpoint_dir(spark)}/panel-sink-{uuid.uuid4().hex}"
+    P.write_panel(I.px_two(spark, sf), path, kind, gzip=True)
+    return P.read_panel(spark, path, kind)
+
+
+@query("panel_sink_csv", sql(with_("px_two"), "SELECT * FROM px_two", "panel_id dt series", num="value"))
+def panel_sink_csv(spark, sf):
+    """Partitioned gzip CSV, written and read back."""
+    return sink_round_trip(spark, sf, "csv")
+
+
+@query("panel_sink_json", sql(with_("px_two"), "SELECT * FROM px_two", "panel_id dt series", num="value"))
+def panel_sink_json(spark, sf):
+    """Partitioned gzip JSON lines, written and read back."""
+    return sink_round_trip(spark, sf, "json")

@@ -12,6 +12,7 @@ from catalog.registry import query, sql
 from foldwise.operators import calendar as C
 from foldwise.operators import covariance as CV
 from foldwise.operators import folds as FD
+from foldwise.operators import inference as IN
 from foldwise.operators import moments as M
 from foldwise.operators import portfolio as PF
 from foldwise.operators import selection as S
@@ -20,6 +21,7 @@ from foldwise.plans import screening as SC
 from foldwise.session import materialize
 
 TRAIN, TEST = 104, 26
+IN_SEED = 20260902
 DESIGN = FD.two_segment(TRAIN, TEST)
 
 # simple returns of the aligned assets, by position
@@ -440,3 +442,12 @@ def tune_alpha(spark, sf):
 )
 def alpha_argmin(spark, sf):
     return PF.pick_alpha(alpha_trials(spark, sf)).select("fold_id", "alpha")
+
+
+@query("inference_cov_backtest")
+def inference_cov_backtest(spark, sf):
+    """Families by design and metric over the backtest's results: the residual-aware method against the ten others, a seed for each family."""
+    family = ["design", "metric"]
+    results = backtest(spark, sf)["fold_results"].filter(FREE)
+    d = materialize(IN.metric_families(results, ["design"], ["realized_variance", "qlike"], "residual_aware_qr"))
+    return IN.family_inference(d, family, seed=IN.seeded(d, family, IN_SEED))

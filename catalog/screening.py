@@ -258,9 +258,14 @@ def screen_certify_test(spark, sf):
     return r.filter(~F.col("stage").contains("pca")).select("stage", "fold_id", *SCORES.split())
 
 
+@I.staged("certified_all")
+def certified_all(spark, sf):
+    return materialize(certified(spark, sf, spectrum=True, max_drivers=8, penalty=0.0001)["results"])
+
+
 @query("screen_certify_all")
 def screen_certify_all(spark, sf):
-    r = certified(spark, sf, spectrum=True, max_drivers=8, penalty=0.0001)["results"]
+    r = certified_all(spark, sf)
     return r.select("stage", "fold_id", *SCORES.split(), "cov_offdiag_spectral")
 
 
@@ -401,3 +406,33 @@ def pca_scores(spark, sf):
     z = SC.pca_features(rows, index, x, SCREEN, ["training"], k)
     e = RG.frozen_residuals(y, z, N_DRIVERS, "training", "training")
     return M.offdiag_scores(e, M.KEYS).select("fold_id", *SCORES.split())
+
+
+# ---------------------------------------------------------------- families over the published comparisons
+
+
+@query("inference_selection_all")
+def inference_selection_all(spark, sf):
+    """Four metrics x four comparators: the chosen drivers, frozen, against no conditioning, components and the named set."""
+    family, metrics_ = ["metric"], [*SCORES.split(), "cov_offdiag_spectral"]
+    stages = ["selected_frozen", "no_conditioning", "pca_matched", "pca_plus_two", "observable_set"]
+    test = certified_all(spark, sf).withColumn("method", F.regexp_replace("stage", "^test_", "")).filter(F.col("stage").startswith("test_") & F.col("method").isin(stages))
+    d = materialize(IN.metric_families(test, [], metrics_, "selected_frozen"))
+    return IN.family_inference(d, family, seed=IN.seeded(d, family, SEED))
+
+
+@query("inference_extended_families")
+def inference_extended_families(spark, sf):
+    """The three families of the screening study (panels, horizons, state model) at 20,000 and 200,000 draws."""
+    y, x = aligned_panels(spark, sf)
+    settings = dict(max_drivers=6, penalty=GREEDY_PENALTY)
+    one, _ = SC.evaluate_representation(y, x, train=104, test=26, state=state_level(spark, sf), **settings)
+    one = materialize(one)
+    many = materialize(SC.multi_horizon(y, x, {1: (104, 26), 5: (36, 6)}, spectrum=False, **settings))
+    rows = lambda family, comparison, df, c: df.select(F.lit(family).alias("family"), comparison.alias("comparison"), "fold_id", F.col(c).alias("diff"))
+    d = (
+        rows("multiasset", F.col("panel_id"), one, "delta_s_f")
+        .unionByName(rows("multihorizon", F.concat("panel_id", F.lit("_h"), F.col("horizon_sessions").cast("string")), many, "delta_s_f"))
+        .unionByName(rows("state_interaction", F.col("panel_id"), one, "state_delta_vs_constant_s_f"))
+    )
+    return IN.extended_inference(d, ["family"], seed=SEED + 1)

@@ -7,9 +7,11 @@ the panel itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from foldwise.session import materialize
+
 KEY = ["panel_id", "dt"]
 
 
@@ -37,10 +39,22 @@ def date_slice(panel: DataFrame, start, end) -> DataFrame:
     return panel.filter(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    if not df.take(1):
+def stored(df: DataFrame, message: str, *faults) -> DataFrame:
+    """The table, written once; stops with ``message`` where it is empty.
+
+    ``faults`` are (message, condition) pairs: a row that meets a condition stops the job.  The
+    rows are counted while they are written, so the guards cost no further scan.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(bad, F.lit(False))).alias(f"fault{k}") for k, (_, bad) in enumerate(faults)]
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts))
+    found = seen.get
+    if not found["rows"]:
         raise ValueError(message)
-    return df
+    for k, (what, _) in enumerate(faults):
+        if found[f"fault{k}"]:
+            raise ValueError(f"{what}: {found[f'fault{k}']} rows")
+    return out
 
 
 def duplicate_keys(panel: DataFrame, keys=("panel_id", "dt", "series")) -> DataFrame:

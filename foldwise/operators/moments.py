@@ -76,11 +76,13 @@ def tile_width(n_series: int, ti: int, tj: int, tile: int) -> int:
 
 
 def window_matrix(pdf: pd.DataFrame, expected: int | None = None):
-    """Dates x series array of one group; a missing cell, or a series absent from the whole group, stops the job."""
+    """Dates x series array of one group; a missing or doubled cell, or a series absent from the whole group, stops the job."""
     pos, r = np.unique(pdf["pos"].to_numpy(), return_inverse=True)
     idx, c = np.unique(pdf["idx"].to_numpy(), return_inverse=True)
     x = np.full((len(pos), len(idx)), np.nan)
     x[r, c] = pdf["value"].to_numpy(dtype=float)
+    if len(pdf) > x.size:
+        raise ValueError("window has several rows for one date and series")
     if np.isnan(x).any() or (expected is not None and len(idx) != expected):
         raise ValueError("window is incomplete: align the panel first")
     return x, idx

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.expr import parse_mixed_date, safe_ln
 from foldwise.operators.calendar import KEY, calendar, positions
+from foldwise.session import materialize, parallelism
 
 MOVE_LIMIT = 0.40
 DATE_TOKENS = ("date", "fecha", "time")  # fixed values: name parts that suggest a date column
@@ -47,6 +48,44 @@ def panel_audit(panel: DataFrame) -> DataFrame:
     return span.join(shape, "panel_id")
 
 
+def order_summary(rows: DataFrame, keys, order: str, value: str, buckets: int | None = None) -> DataFrame:
+    """keys, sorted: does ``value`` never fall along ``order``; rows without a value are passed over.
+
+    The rows are cut into ranges of (keys, order); a range is summed up as (first, last, sorted so far) and
+    the summaries are compared at their borders, so one long table spreads over many tasks.
+    """
+    keys = list(keys)
+    listed = rows.filter(F.col(value).isNotNull()).select(*keys, order, value).repartitionByRange(buckets or parallelism(rows), *keys, order)
+    placed = materialize(listed.withColumn("range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "range").orderBy(order)
+    part = placed.withColumn("before", F.lag(value).over(inside)).groupBy(*keys, "range").agg(
+        F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.bool_and(F.coalesce(F.col("before") <= F.col(value), F.lit(True))).alias("ok")
+    )
+    along = Window.partitionBy(*keys).orderBy("range")
+    met = part.withColumn("border", F.coalesce(F.lag("last").over(along) <= F.col("first"), F.lit(True)))
+    return met.groupBy(*keys).agg(F.bool_and(F.col("ok") & F.col("border")).alias("sorted"))
+
+
+def delivered_audit(table: DataFrame, keys, order: str, date: str) -> DataFrame:
+    """Per delivered table: rows, columns, empty rows and columns, span, valid and repeated dates, and whether the dates never fall.
+
+    ``keys`` name the table, ``order`` is the place of a row in it; all other columns are its content.
+    """
+    keys = list(keys)
+    content = [c for c in table.columns if c not in (*keys, order)]
+    blank = F.lit(True)
+    for c in content:
+        blank = blank & F.col(f"`{c}`").isNull()
+    empty = sum((F.when(F.count(f"`{c}`") == 0, 1).otherwise(0) for c in content), F.lit(0))
+    shape = table.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(content)).alias("n_columns"), F.count_if(blank).alias("empty_rows"), empty.alias("empty_columns"),
+        F.min(date).alias("date_min"), F.max(date).alias("date_max"), F.count(date).alias("date_valid_rows"),
+        (F.count(date) - F.countDistinct(date)).alias("duplicate_dates"),
+    )
+    kept = order_summary(table, keys, order, date).withColumnRenamed("sorted", "monotonic_dates")
+    return shape.join(kept, keys, "left").withColumn("monotonic_dates", F.coalesce("monotonic_dates", F.lit(True)))
+
+
 def column_date_scores(wide: DataFrame) -> DataFrame:
     """Per candidate column of a delivered table: how many values read as dates.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators import align, covariance, folds, moments, regress, selection
-from foldwise.operators.calendar import KEY
+from foldwise.operators.calendar import KEY, stored
 from foldwise.operators.moments import KEYS
 from foldwise.session import materialize
 
@@ -19,8 +19,18 @@ UNCONDITIONED = {
 
 
 def prepare(assets: DataFrame, drivers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered, positioned rows of both panels (written once: read many times) and their index."""
-    rows = materialize(moments.indexed(moments.stack_roles(assets, drivers)))
+    """Numbered, positioned rows of both panels (written once: read many times) and their index.
+
+    An empty panel, missing values and repeated (panel, date, series) rows stop the job here; a hole
+    stops it where its window is read.
+    """
+    stacked = moments.stack_roles(assets, drivers).groupBy("panel_id", "dt", "role", "series").agg(
+        F.max("value").alias("value"), F.count(F.lit(1)).alias("copies")
+    )
+    rows = stored(
+        moments.indexed(stacked), "the panels have no rows", ("repeated (panel, date, series) rows", F.col("copies") > 1),
+        ("rows without a value", F.col("value").isNull() | F.isnan("value")),
+    ).drop("copies")
     return rows, moments.index_of(rows)
 
 
@@ -160,21 +170,44 @@ def summarize_screening(rows: DataFrame, keys) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def jaccard_selected(selections: DataFrame, panel: str = "panel_id", label: str = "series") -> DataFrame:
-    """Overlap of the distinct labels chosen in each pair of panels.
+LIST = 256
+
+
+def shared_labels(pairs: DataFrame, width: int = LIST) -> DataFrame:
+    """(panel_a, panel_b, shared) for the panels that share labels; ``pairs``: distinct (p, l).
 
-    Shared labels come from an equi-join on the label; pairs that share none are
-    added from the panel list (panels are few, labels may be many).
+    The panels of a label form its list.  A list longer than ``width`` is cut into pieces by hash and
+    every two pieces meet in a group of their own, so a label that all panels have is no hot key.
     """
-    pairs = selections.select(F.col(panel).alias("p"), F.col(label).alias("l")).distinct()
-    size = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
-    a, b = pairs.toDF("panel_a", "l"), pairs.toDF("panel_b", "l")
-    shared = a.join(b, "l").filter("panel_a < panel_b").groupBy("panel_a", "panel_b").agg(F.count(F.lit(1)).alias("shared"))
-    both = size.toDF("panel_a", "na").join(size.toDF("panel_b", "nb"), F.col("panel_a") < F.col("panel_b"))
-    union = F.greatest(F.col("na") + F.col("nb") - F.coalesce("shared", F.lit(0)), F.lit(1))
-    return both.join(shared, ["panel_a", "panel_b"], "left").select(
-        "panel_a", "panel_b", (F.coalesce("shared", F.lit(0)) / union).alias("jaccard_selected_labels")
+    length = pairs.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("p"), F.col("cuts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    placed = pairs.join(length, "l").withColumn("own", own).select("l", "p", "own", F.explode(meets).alias("at"))
+    lists = placed.groupBy("l", "at").agg(
+        F.collect_list(F.when(F.col("own") == F.col("at.i"), F.col("p"))).alias("left"), F.collect_list(F.when(F.col("own") == F.col("at.j"), F.col("p"))).alias("right")
     )
+    a = lists.select("right", F.explode("left").alias("a"), (F.col("at.i") == F.col("at.j")).alias("same"))
+    met = a.select("a", F.explode(F.filter("right", lambda b: ~F.col("same") | (b > F.col("a")))).alias("b"))
+    return met.groupBy(F.least("a", "b").alias("panel_a"), F.greatest("a", "b").alias("panel_b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def jaccard_selected(selections: DataFrame, panel: str = "panel_id", label: str = "series", with_zero: bool = True) -> DataFrame:
+    """Overlap of the distinct labels chosen in each pair of panels.
+
+    Pairs that share a label come from the label lists.  ``with_zero`` adds all other pairs, whose number
+    is that of the answer: panels are numbered and each one lists the numbers below its own.
+    """
+    pairs = materialize(selections.select(F.col(panel).alias("p"), F.col(label).alias("l")).distinct())
+    size = materialize(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("size")))
+    shared = shared_labels(pairs)
+    if with_zero:
+        nth = materialize(size.select("p", (F.row_number().over(Window.orderBy("p")) - 1).alias("k")))
+        below = nth.filter("k > 0").select(F.col("p").alias("panel_b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"))
+        every = below.join(nth.withColumnRenamed("p", "panel_a"), "k").select("panel_a", "panel_b")
+        shared = every.join(shared, ["panel_a", "panel_b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    both = shared.join(size.toDF("panel_a", "na"), "panel_a").join(size.toDF("panel_b", "nb"), "panel_b")
+    union = F.greatest(F.col("na") + F.col("nb") - F.col("shared"), F.lit(1))
+    return both.select("panel_a", "panel_b", (F.col("shared") / union).alias("jaccard_selected_labels"))
 
 
 def selection_frequency(chosen: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foldwise.functions.expr import numeric_coerce, parse_date_strict
+from foldwise.functions.expr import numeric_coerce, parse_date_strict, parse_mixed_date
 
 
 def wide_to_long(wide: DataFrame, date_col: str = "date", panel_id: str = "panel", keep_missing: bool = True) -> DataFrame:
@@ -32,11 +33,39 @@ def read_wide_csv(spark: SparkSession, path: str, date_col: str = "date", panel_
     return wide_to_long(wide, date_col, panel_id, keep_missing)
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """Long parquet panel; filters on panel_id prune partitions, NaN is read as missing."""
-    schema = "panel_id string, dt date, series string, value double"
-    panel = spark.read.schema(schema).parquet(path)
-    return panel.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+def read_wide_checked(spark: SparkSession, path: str, date_col: str = "date", panel_id: str = "panel") -> tuple[DataFrame, DataFrame]:
+    """Wide CSV (plain or gzip, one file or many) as a long panel, and a table of what was rejected.
+
+    Rejects: ``record`` (the text), ``column``, ``reason``.  A record with the wrong number of fields or an
+    unreadable date is rejected whole; a field that is neither empty nor a number becomes NULL and is listed.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([*[T.StructField(f"c{k}", T.StringType()) for k in range(len(names))], T.StructField("broken", T.StringType())])
+    read = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").csv(path)
+    date, cells = f"c{names.index(date_col)}", [f"c{k}" for k, c in enumerate(names) if c != date_col]
+    dt = parse_mixed_date(F.col(date))
+    rows = read.withColumn("dt", F.when(F.col("broken").isNull(), dt))
+    record = F.coalesce("broken", F.concat_ws(",", *[F.coalesce(f"c{k}", F.lit("")) for k in range(len(names))]))
+    title = F.array(*[F.lit(c) for c in names])
+    wrong = F.filter(F.array(*[
+        F.when((F.trim(c) != "") & numeric_coerce(F.col(c)).isNull(), F.struct(title[int(c[1:])].alias("column"), F.lit("not a number").alias("reason"))) for c in cells
+    ]), lambda x: x.isNotNull())
+    whole = lambda column, reason: F.array(F.struct(F.lit(column).cast("string").alias("column"), F.lit(reason).alias("reason")))
+    faults = F.when(F.col("broken").isNotNull(), whole(None, "wrong number of fields")).when(F.col("dt").isNull(), whole(date_col, "not a date")).otherwise(wrong)
+    rejects = rows.select(record.alias("record"), F.explode(faults).alias("f")).select("record", "f.column", "f.reason")
+    long = rows.filter("dt IS NOT NULL").select("dt", *[numeric_coerce(F.col(c)).alias(c) for c in cells]).unpivot(["dt"], cells, "nth", "value")
+    panel = long.select(F.lit(panel_id).alias("panel_id"), "dt", title[F.substring("nth", 2, 9).cast("int")].alias("series"), "value")
+    return panel, rejects
+
+
+PANEL = "panel_id string, dt date, series string, value double"
+
+
+def read_panel(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Long panel written by :func:`write_panel`; filters on panel_id prune partitions, NaN is read as missing."""
+    read = spark.read.schema(PANEL)
+    panel = read.option("header", True).csv(path) if kind == "csv" else read.json(path) if kind == "json" else read.parquet(path)
+    return panel.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).select("panel_id", "dt", "series", "value")
 
 
 def project_universe(panel: DataFrame, universe: DataFrame) -> DataFrame:
@@ -55,9 +84,16 @@ def require_universe(panel: DataFrame, universe: DataFrame) -> DataFrame:
     return project_universe(panel, universe)
 
 
-def write_panel(panel: DataFrame, path: str) -> None:
-    """Long parquet, one folder per panel; one hot panel still spreads over many files."""
-    panel.write.mode("overwrite").partitionBy("panel_id").parquet(path)
+def write_panel(panel: DataFrame, path: str, kind: str = "parquet", gzip: bool = False) -> None:
+    """Long panel, one folder per panel (a hot one still spreads over many files), as Parquet, CSV or JSON lines."""
+    w = panel.select("panel_id", "dt", "series", "value").write.mode("overwrite").partitionBy("panel_id")
+    w = w.option("compression", "gzip") if gzip else w
+    if kind == "csv":
+        w.option("header", True).csv(path)
+    elif kind == "json":
+        w.json(path)
+    else:
+        w.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
@@ -65,10 +101,6 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     (w.option("compression", "gzip") if gzip else w).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Name, size and SHA-256 of each input file (files are hashed in the tasks)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
