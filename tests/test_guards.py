@@ -114,3 +114,65 @@ def test_quadratic_inverse_equals_the_sums(n_obs):
     got = kernels.quadratic_inverse((lam, q), n_obs)
     want = (q * np.array(quadratic_inverse_by_loops(lam, n_obs))) @ q.T
     assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_repeated_missing_and_absent_rows_stop_a_plan(panel, planted):
+    """The guards ride on the write of the prepared rows."""
+    from foldwise.plans import screening as SC
+
+    y, x = planted
+    a, d = panel({f"a{j}": y[:, j] for j in range(3)}), panel({f"d{j}": x[:, j] for j in range(2)})
+    rows, _ = SC.prepare(a, d)
+    assert rows.count() == 120 * 5
+    with pytest.raises(ValueError, match="repeated"):
+        SC.prepare(a.unionByName(a.limit(1)), d)
+    with pytest.raises(ValueError, match="no rows"):
+        SC.prepare(a.limit(0), d.limit(0))
+    with pytest.raises(ValueError, match="without a value"):
+        SC.prepare(a.withColumn("value", F.when(F.col("series") != "a1", F.col("value"))), d)
+    with pytest.raises(Exception, match="incomplete"):
+        SC.evaluate_representation(a.filter("NOT (series = 'a0' AND dt = '2020-01-10')"), d, train=60, test=20, spectrum=False)[0].collect()
+
+
+def test_wide_csv_rejects(spark, tmp_path):
+    from foldwise.sources import panels as P
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("date,x.y,b\n2020-01-01,1.5,2\n20200102,,3\n2020-01-03,one,4\nnever,1,1\n2020-01-04,1,2,3\n2020-01-05,7\n")
+    (tmp_path / "in" / "b.csv").write_text("date,x.y,b\n2020-01-06,-1,1e3\n")
+    rows, rejects = P.read_wide_checked(spark, str(tmp_path / "in"), "date", "p")
+    got = {(r["dt"].isoformat(), r["series"]): r["value"] for r in rows.collect()}
+    assert got == {
+        ("2020-01-01", "x.y"): 1.5, ("2020-01-01", "b"): 2, ("2020-01-02", "x.y"): None, ("2020-01-02", "b"): 3, ("2020-01-03", "x.y"): None,
+        ("2020-01-03", "b"): 4, ("2020-01-06", "x.y"): -1, ("2020-01-06", "b"): 1000,
+    }
+    why = sorted((r["column"] or "", r["reason"]) for r in rejects.collect())
+    assert why == [("", "wrong number of fields")] * 2 + [("date", "not a date"), ("x.y", "not a number")]
+
+
+def test_order_of_a_long_table_is_judged_across_ranges(spark):
+    from foldwise.operators import profile as PR
+
+    rows = [("up", k, k // 3) for k in range(200)] + [("dip", k, k if k != 150 else 3) for k in range(200)] + [("one", 0, 5), ("gap", 0, 4), ("gap", 1, None), ("gap", 2, 4)]
+    df = spark.createDataFrame(rows, "t string, n long, v long")
+    for buckets in (1, 17):
+        got = {r["t"]: r["sorted"] for r in PR.order_summary(df, ["t"], "n", "v", buckets).collect()}
+        assert got == {"up": True, "dip": False, "one": True, "gap": True}
+
+
+def test_shared_labels_with_hot_lists(spark):
+    """Lists cut into pieces of two against all pairs."""
+    from foldwise.plans import screening as SC
+
+    rows = [(f"p{p}", l) for p in range(11) for l in range(9) if l == 0 or (p * 7 + l * 3) % 4 == 0] + [("lone", 99)]
+    df = spark.createDataFrame(rows, "panel_id string, series long")
+    sets = {}
+    for p, l in rows:
+        sets.setdefault(p, set()).add(l)
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    for width in (2, 256):
+        got = {(r["panel_a"], r["panel_b"]): r["shared"] for r in SC.shared_labels(df.toDF("p", "l"), width).collect()}
+        assert got == {k: n for k, n in want.items() if n}
+    every = {(r[0], r[1]): r[2] for r in SC.jaccard_selected(df).collect()}
+    assert every == {k: n / len(sets[k[0]] | sets[k[1]]) for k, n in want.items()}
+    assert "CartesianProduct" not in SC.jaccard_selected(df)._jdf.queryExecution().toString()
