@@ -604,10 +604,98 @@ def equal_weight_cov(spark, sf):
 def subspace_overlap(spark, sf):
     """Certificate: a space overlaps itself fully; training against test lies in [0, 1]."""
     rows = emb_rows(spark, sf)
-    train, test = M.fold_covariance(rows, EMB), M.fold_covariance(rows, EMB, ["test"])
     k = FD.fold_spans(C.positions(C.calendar(rows)), EMB).select(*M.KEYS).distinct().withColumn("k", F.lit(5))
-    a, b = materialize(CV.leading_vectors(train, k)), CV.leading_vectors(test, k)
+    a, b = (materialize(CV.window_vectors(FD.assign_folds(rows, EMB, {s: [s]}), k)) for s in ("training", "test"))
     same = CV.subspace_overlap(a, a).select(*M.KEYS, "k", F.col("overlap").alias("same"))
     cross = CV.subspace_overlap(a, b).select(*M.KEYS, "overlap")
     o = F.col("overlap")
     return same.join(cross, M.KEYS).select("fold_id", "k", "same", ((o >= 0) & (o <= 1 + 1e-9)).alias("in_range"))
+
+
+# ---------------------------------------------------------------- two series a panel: closed forms
+
+def pair_rows(spark, sf):
+    """Neighbouring series as panels of their own, so that every spectrum has a closed form."""
+    pair = F.floor(F.col("series").cast("int") / 2).cast("string")
+    return materialize(M.indexed(I.emb(spark, sf).withColumn("panel_id", pair)))
+
+
+def pair_window(rows, segment):
+    window = FD.assign_folds(rows, EMB, {segment: [segment]})
+    return window, window.select(*M.KEYS).distinct().withColumn("k", F.lit(1))
+
+
+PAIR = F.col("panel_id").cast("int").alias("pair")
+
+
+def pair_sql(cov):
+    """Variances a and b, covariance c, larger eigenvalue and half the gap of each 2 x 2 matrix."""
+    return (
+        "SELECT fold_id, pair, a, b, c, (a + b) / 2 + r AS top, (a + b) / 2 - r AS low, r FROM (SELECT *, sqrt(pow((a - b) / 2, 2) + c * c) AS r FROM ("
+        f"SELECT fold_id, i // 2 AS pair, max(v) FILTER (i = j AND i % 2 = 0) AS a, max(v) FILTER (i = j AND i % 2 = 1) AS b, max(v) FILTER (i < j) AS c FROM {cov} WHERE i // 2 = j // 2 GROUP BY 1, 2) m) e"
+    )
+
+
+@query(
+    "spectrum_two_series",
+    sql(
+        with_("etecov", q=pair_sql("etecov")),
+        "SELECT fold_id, pair, abs(c) AS cov_offdiag_spectral, exp(-(top / (a + b) * ln(top / (a + b)) + low / (a + b) * ln(low / (a + b)))) AS effective_rank FROM q",
+        "", "fold_id pair", "cov_offdiag_spectral effective_rank",
+    ),
+)
+def spectrum_two_series(spark, sf):
+    """Effective rank and off-diagonal norm by value."""
+    window, _ = pair_window(pair_rows(spark, sf), "test")
+    return M.window_spectrum(window, M.KEYS).select("fold_id", PAIR, "cov_offdiag_spectral", "effective_rank")
+
+
+@query(
+    "pca_factor_form",
+    sql(
+        with_("etrcov", q=pair_sql("etrcov")),
+        "SELECT fold_id, pair, 0 AS i, 0 AS j, a AS v FROM q UNION ALL SELECT fold_id, pair, 1, 1, b FROM q UNION ALL SELECT fold_id, pair, 0, 1, top * c / (2 * r) FROM q",
+        "", "fold_id pair i j", "v",
+    ),
+)
+def pca_factor_form(spark, sf):
+    """All cells of the one-factor form, by value."""
+    form = CV.factor_form(*pair_window(pair_rows(spark, sf), "training"))
+    return CV.form_cells(form).select("fold_id", PAIR, "i", "j", "v")
+
+
+@query(
+    "factor_form_gmv",
+    sql(
+        with_(
+            "etrcov", q=pair_sql("etrcov"),
+            f="SELECT fold_id, pair, a, b, top * c / (2 * r) AS o FROM q",
+        ),
+        "SELECT fold_id, pair, (b - o) / (a + b - 2 * o) AS w, (a * b - o * o) / (a + b - 2 * o) AS predicted FROM f",
+        "", "fold_id pair", "w predicted",
+    ),
+)
+def factor_form_gmv(spark, sf):
+    """Minimum-variance weight of a pair's first series and the predicted variance, both from the factor form."""
+    form = materialize(CV.factor_form(*pair_window(pair_rows(spark, sf), "training")))
+    weights = materialize(CV.form_minimum_variance(form))
+    return weights.filter("idx = 0").join(CV.form_variance(form, weights), M.KEYS).select("fold_id", PAIR, "w", "predicted")
+
+
+@query(
+    "overlap_two_series",
+    sql(
+        with_(
+            "etrcov", "etecov",
+            q="SELECT fold_id, pair, atan2(2 * c, a - b) / 2 AS angle FROM (" + pair_sql("etrcov") + ") x",
+            u="SELECT fold_id, pair, atan2(2 * c, a - b) / 2 AS angle FROM (" + pair_sql("etecov") + ") x",
+        ),
+        "SELECT q.fold_id, q.pair, pow(cos(q.angle - u.angle), 2) AS overlap FROM q JOIN u ON u.fold_id = q.fold_id AND u.pair = q.pair",
+        "", "fold_id pair", "overlap",
+    ),
+)
+def overlap_two_series(spark, sf):
+    """Overlap of the leading directions of training and test, by value."""
+    rows = pair_rows(spark, sf)
+    a, b = (materialize(CV.window_vectors(*pair_window(rows, s))) for s in ("training", "test"))
+    return CV.subspace_overlap(a, b).select("fold_id", PAIR, "overlap")

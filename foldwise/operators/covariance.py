@@ -177,6 +177,71 @@ def leading_vectors(cov: DataFrame, factors: DataFrame) -> DataFrame:
     return _per_fold(cov.join(factors, KEYS), run, [*CELLS, "k"], schema)
 
 
+def window_vectors(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """As :func:`leading_vectors`, straight from the rows of each window: no cell of a covariance is formed."""
+
+    def run(key, pdf):
+        x, idx = window_matrix(pdf)
+        _, q = kernels.leading_pairs(x, max(int(pdf["k"].iloc[0]), 1))
+        comp, at = kernels.np.meshgrid(range(q.shape[1]), idx, indexing="ij")
+        return pd.DataFrame({**dict(zip(KEYS, key)), "comp": comp.ravel(), "idx": at.ravel(), "loading": q.T.ravel()})
+
+    schema = "panel_id string, design string, fold_id long, comp int, idx int, loading double"
+    return _per_fold(rows.join(factors, KEYS), run, [*KEYS, "pos", "idx", "value", "k"], schema)
+
+
+def factor_form(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """Leading eigenpart plus the rest of the diagonal, as one row per series: keys, idx, load (array), rest.
+
+    The matrix is load_i . load_j off the diagonal and load_i . load_i + rest_i on it: n x (k + 1) numbers
+    a fold in place of n x n cells.  ``factors``: keys, k; at least one and fewer than the series.
+    """
+
+    def run(key, pdf):
+        x, idx = window_matrix(pdf)
+        lam, q = kernels.leading_pairs(x, min(max(int(pdf["k"].iloc[0]), 1), max(x.shape[1] - 1, 1)))
+        load = q * kernels.np.sqrt(lam)
+        rest = kernels.np.clip(x.var(axis=0, ddof=1) - (load * load).sum(axis=1), 0.0, None)
+        return pd.DataFrame({**dict(zip(KEYS, key)), "idx": idx, "load": list(load), "rest": rest})
+
+    schema = "panel_id string, design string, fold_id long, idx int, load array<double>, rest double"
+    return _per_fold(rows.join(factors, KEYS), run, [*KEYS, "pos", "idx", "value", "k"], schema)
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
+
+
+def form_cells(form: DataFrame) -> DataFrame:
+    """All i <= j cells of a factor form, for users who need the matrix itself (n x n rows are its size)."""
+    a = form.select(*KEYS, F.col("idx").alias("i"), F.col("load").alias("la"), "rest")
+    b = form.select(*KEYS, F.col("idx").alias("j"), F.col("load").alias("lb"))
+    v = _dot("la", "lb") + F.when(diagonal(), F.col("rest")).otherwise(0.0)
+    return a.join(b, KEYS).filter("i <= j").withColumn("v", v).select(*CELLS)
+
+
+def form_variance(form: DataFrame, weights: DataFrame) -> DataFrame:
+    """Predicted variance of ``weights`` (keys, idx, w) under a factor form: keys, predicted.
+
+    Sums of w x load by component, then their squares; rows meet on series, never in pairs.
+    """
+    held = form.join(weights.select(*KEYS, "idx", "w"), [*KEYS, "idx"])
+    own = held.groupBy(*KEYS).agg(F.sum(F.col("w") * F.col("w") * F.col("rest")).alias("own"))
+    pull = held.select(*KEYS, "w", F.posexplode("load").alias("comp", "l")).groupBy(*KEYS, "comp").agg(F.sum(F.col("w") * F.col("l")).alias("f"))
+    common = pull.groupBy(*KEYS).agg(F.sum(F.col("f") * F.col("f")).alias("common"))
+    return own.join(common, KEYS, "left").select(*KEYS, (F.col("own") + F.coalesce("common", F.lit(0.0))).alias("predicted"))
+
+
+def form_minimum_variance(form: DataFrame) -> DataFrame:
+    """Minimum-variance weights of a factor form (keys, idx, w); a series without a rest stops the job."""
+
+    def run(key, pdf):
+        w = kernels.factor_weights(kernels.np.stack(pdf["load"].to_numpy()), pdf["rest"].to_numpy())
+        return pd.DataFrame({**dict(zip(KEYS, key)), "idx": pdf["idx"], "w": w})
+
+    return _per_fold(form, run, [*KEYS, "idx", "load", "rest"], "panel_id string, design string, fold_id long, idx int, w double")
+
+
 def subspace_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean squared cosine of the principal angles between two leading subspaces.
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.calendar import KEY, calendar, positions
 from foldwise.operators.folds import Design, covering_folds
+from foldwise.operators.kernels import offdiagonal_norm
 
 TILE = 256
 MAX_BLOCKS = 16
@@ -186,8 +187,8 @@ def offdiag_scores(rows: DataFrame, keys, variance_floor: float | None = None, t
 def window_spectrum(rows: DataFrame, keys) -> DataFrame:
     """Effective rank and spectral norm of the off-diagonal covariance per group.
 
-    Needs the whole matrix of a window at once: one group is window length x
-    panel width numbers.  The smaller side's product is decomposed for the rank.
+    One group is window length x panel width numbers.  The rank takes the eigenvalues of the smaller side's
+    product, the norm takes products with the window alone; no array is as wide as the panel twice over.
     """
 
     def spectrum(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,12 +198,12 @@ def window_spectrum(rows: DataFrame, keys) -> DataFrame:
         shares = np.maximum(np.linalg.eigvalsh(gram), 0.0)
         shares = shares / max(shares.sum(), 1e-18)
         shares = shares[shares > 0]
-        c = xc.T @ xc
-        np.fill_diagonal(c, 0.0)
+        own = (xc * xc).sum(axis=0)
         return pd.DataFrame([{
             **{k: v for k, v in zip(keys, key)}, "effective_rank": float(np.exp(-(shares * np.log(shares)).sum())),
-            "share_total": float(shares.sum()), "cov_offdiag_spectral": float(np.abs(np.linalg.eigvalsh(c)).max()),
-            "n_series": x.shape[1], "offdiag_sum": float(c.sum()), "offdiag_sq": float((c * c).sum()),
+            "share_total": float(shares.sum()), "cov_offdiag_spectral": offdiagonal_norm(xc),
+            "n_series": x.shape[1], "offdiag_sum": float((xc.sum(axis=1) ** 2).sum() - own.sum()),
+            "offdiag_sq": float((gram * gram).sum() - (own * own).sum()),
         }])
 
     types = dict(rows.dtypes)
