@@ -614,6 +614,8 @@ def subspace_overlap(spark, sf):
 
 # ---------------------------------------------------------------- two series a panel: closed forms
 
+FINE = 11  # digits: variances here are about 0.01
+
 def pair_rows(spark, sf):
     """Neighbouring series as panels of their own, so that every spectrum has a closed form."""
     pair = F.floor(F.col("series").cast("int") / 2).cast("string")
@@ -625,7 +627,8 @@ def pair_window(rows, segment):
     return window, window.select(*M.KEYS).distinct().withColumn("k", F.lit(1))
 
 
-PAIR = F.col("panel_id").cast("int").alias("pair")
+def pair_number():
+    return F.col("panel_id").cast("int").alias("pair")
 
 
 def pair_sql(cov):
@@ -641,13 +644,14 @@ def pair_sql(cov):
     sql(
         with_("etecov", q=pair_sql("etecov")),
         "SELECT fold_id, pair, abs(c) AS cov_offdiag_spectral, exp(-(top / (a + b) * ln(top / (a + b)) + low / (a + b) * ln(low / (a + b)))) AS effective_rank FROM q",
-        "", "fold_id pair", "cov_offdiag_spectral effective_rank",
+        "", "fold_id pair", "cov_offdiag_spectral effective_rank", FINE,
     ),
+    FINE,
 )
 def spectrum_two_series(spark, sf):
     """Effective rank and off-diagonal norm by value."""
     window, _ = pair_window(pair_rows(spark, sf), "test")
-    return M.window_spectrum(window, M.KEYS).select("fold_id", PAIR, "cov_offdiag_spectral", "effective_rank")
+    return M.window_spectrum(window, M.KEYS).select("fold_id", pair_number(), "cov_offdiag_spectral", "effective_rank")
 
 
 @query(
@@ -655,13 +659,14 @@ def spectrum_two_series(spark, sf):
     sql(
         with_("etrcov", q=pair_sql("etrcov")),
         "SELECT fold_id, pair, 0 AS i, 0 AS j, a AS v FROM q UNION ALL SELECT fold_id, pair, 1, 1, b FROM q UNION ALL SELECT fold_id, pair, 0, 1, top * c / (2 * r) FROM q",
-        "", "fold_id pair i j", "v",
+        "", "fold_id pair i j", "v", FINE,
     ),
+    FINE,
 )
 def pca_factor_form(spark, sf):
     """All cells of the one-factor form, by value."""
     form = CV.factor_form(*pair_window(pair_rows(spark, sf), "training"))
-    return CV.form_cells(form).select("fold_id", PAIR, "i", "j", "v")
+    return CV.form_cells(form).select("fold_id", pair_number(), "i", "j", "v")
 
 
 @query(
@@ -672,14 +677,15 @@ def pca_factor_form(spark, sf):
             f="SELECT fold_id, pair, a, b, top * c / (2 * r) AS o FROM q",
         ),
         "SELECT fold_id, pair, (b - o) / (a + b - 2 * o) AS w, (a * b - o * o) / (a + b - 2 * o) AS predicted FROM f",
-        "", "fold_id pair", "w predicted",
+        "", "fold_id pair", "w predicted", FINE,
     ),
+    FINE,
 )
 def factor_form_gmv(spark, sf):
     """Minimum-variance weight of a pair's first series and the predicted variance, both from the factor form."""
     form = materialize(CV.factor_form(*pair_window(pair_rows(spark, sf), "training")))
     weights = materialize(CV.form_minimum_variance(form))
-    return weights.filter("idx = 0").join(CV.form_variance(form, weights), M.KEYS).select("fold_id", PAIR, "w", "predicted")
+    return weights.filter("idx = 0").join(CV.form_variance(form, weights), M.KEYS).select("fold_id", pair_number(), "w", "predicted")
 
 
 @query(
@@ -691,11 +697,84 @@ def factor_form_gmv(spark, sf):
             u="SELECT fold_id, pair, atan2(2 * c, a - b) / 2 AS angle FROM (" + pair_sql("etecov") + ") x",
         ),
         "SELECT q.fold_id, q.pair, pow(cos(q.angle - u.angle), 2) AS overlap FROM q JOIN u ON u.fold_id = q.fold_id AND u.pair = q.pair",
-        "", "fold_id pair", "overlap",
+        "", "fold_id pair", "overlap", FINE,
     ),
+    FINE,
 )
 def overlap_two_series(spark, sf):
     """Overlap of the leading directions of training and test, by value."""
     rows = pair_rows(spark, sf)
     a, b = (materialize(CV.window_vectors(*pair_window(rows, s))) for s in ("training", "test"))
-    return CV.subspace_overlap(a, b).select("fold_id", PAIR, "overlap")
+    return CV.subspace_overlap(a, b).select("fold_id", pair_number(), "overlap")
+
+
+def rebuilt_sql(q, larger, smaller, extra=""):
+    """Cells of a 2 x 2 matrix with the eigenvectors of ``q`` and other eigenvalues."""
+    share = "(1 + (a - b) / (2 * r)) / 2"
+    ends = f"SELECT *, {larger} AS x, {smaller} AS y, {share} AS s FROM {q}"
+    cell = lambda i, j, v: f"SELECT fold_id, pair, {i} AS i, {j} AS j, {v} AS v{extra} FROM ({ends}) e{i}{j}"
+    return " UNION ALL ".join([cell(0, 0, "x * s + y * (1 - s)"), cell(1, 1, "x * (1 - s) + y * s"), cell(0, 1, "(x - y) * c / (2 * r)")])
+
+
+def pair_cov(spark, sf):
+    return M.fold_covariance(pair_rows(spark, sf), EMB)
+
+
+@query(
+    "eigen_floor_two_series",
+    sql(
+        with_("etrcov", q=pair_sql("etrcov")),
+        rebuilt_sql("q", "top", "greatest(low, 0.9 * (a + b) / 2)", ", low < 0.9 * (a + b) / 2 AS activated"),
+        "activated", "fold_id pair i j", "v", FINE,
+    ),
+    FINE,
+)
+def eigen_floor_two_series(spark, sf):
+    """All cells, by value, with a floor high enough to act on part of the matrices."""
+    return CV.eigen_floor(pair_cov(spark, sf), 0.9).select("fold_id", pair_number(), "i", "j", "v", "activated")
+
+
+@query(
+    "qis_two_series",
+    sql(
+        with_(
+            "etrcov",
+            q=pair_sql("etrcov"),
+            # concentration, bandwidth and inverse eigenvalues
+            h="SELECT q.*, 2.0 / (n - 1) AS ratio, pow(pow(2.0 / (n - 1), 2) / 2, 0.35) AS h, 1 / top AS p, 1 / low AS o FROM q JOIN (SELECT fold_id, max(n) AS n FROM etrcov GROUP BY 1) t ON t.fold_id = q.fold_id",
+            # real and imaginary part of the transform at each of the two
+            m="SELECT *, o * (o - p) / (pow(o - p, 2) + pow(h * o, 2)) / 2 AS rp, (1 / h + o * o * h / (pow(o - p, 2) + pow(h * o, 2))) / 2 AS ip, "
+            "p * (p - o) / (pow(p - o, 2) + pow(h * p, 2)) / 2 AS ro, (1 / h + p * p * h / (pow(p - o, 2) + pow(h * p, 2))) / 2 AS io FROM h",
+            z="SELECT *, top / (pow(1 - ratio + ratio * rp, 2) + pow(ratio * ip, 2)) AS dt, low / (pow(1 - ratio + ratio * ro, 2) + pow(ratio * io, 2)) AS dl FROM m",
+        ),
+        rebuilt_sql("z", "dt * (top + low) / (dt + dl)", "dl * (top + low) / (dt + dl)"),
+        "", "fold_id pair i j", "v", FINE,
+    ),
+    FINE,
+)
+def qis_two_series(spark, sf):
+    """All cells of the quadratic-inverse shrinkage, by value."""
+    return CV.quadratic_inverse(pair_cov(spark, sf)).select("fold_id", pair_number(), "i", "j", "v")
+
+
+@query(
+    "poet_two_series",
+    sql(
+        with_(
+            "etrcov", "etr",
+            q=pair_sql("etrcov"),
+            d="SELECT fold_id, pos, idx, value - avg(value) OVER (PARTITION BY fold_id, idx) AS x FROM etr",
+            # scores on the smaller axis give the residuals and their fourth moments
+            z="SELECT q.fold_id, q.pair, count(*) AS t, avg(pow(cos(w) * e.x - sin(w) * d.x, 2)) AS m2, avg(pow(cos(w) * e.x - sin(w) * d.x, 4)) AS m4 "
+            "FROM (SELECT *, atan2(2 * c, a - b) / 2 AS w FROM q) q JOIN d ON d.fold_id = q.fold_id AND d.idx = 2 * q.pair JOIN d e ON e.fold_id = d.fold_id AND e.pos = d.pos AND e.idx = d.idx + 1 GROUP BY 1, 2",
+            f="SELECT q.*, (t - 1.0) / t AS f, greatest(m2 - 0.5 * sqrt(greatest(m4 - m2 * m2, 0) * t / (t - 1.0)) * (pow(2, -0.5) + sqrt(ln(2) / t)), 0) AS kept FROM q JOIN z ON z.fold_id = q.fold_id AND z.pair = q.pair",
+        ),
+        "SELECT fold_id, pair, 0 AS i, 0 AS j, a * f AS v FROM f UNION ALL SELECT fold_id, pair, 1, 1, b * f FROM f UNION ALL SELECT fold_id, pair, 0, 1, c / (2 * r) * (top * f - kept) FROM f",
+        "", "fold_id pair i j", "v", FINE,
+    ),
+    FINE,
+)
+def poet_two_series(spark, sf):
+    """All cells of the thresholded one-factor estimator, by value."""
+    window, k = pair_window(pair_rows(spark, sf), "training")
+    return CV.thresholded_factors(window, k).select("fold_id", pair_number(), "i", "j", "v")

@@ -15,33 +15,35 @@ DIGITS = 6
 NUDGE = 1.2345678e-7
 
 
-def tidy(df):
-    """Integers as BIGINT, doubles rounded (sums may differ in the last bits)."""
+def tidy(df, digits: int | None = None):
+    """Integers as BIGINT, doubles rounded (sums may differ in the last bits); with ``digits`` without the shift."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0)
+            shifted = c.cast("double") + F.lit(0.0 if digits else NUDGE)
+            c = F.round(shifted, digits or DIGITS) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
-def sql(with_clause: str, body: str, keep: str = "", ints: str = "", num: str = "") -> str:
+def sql(with_clause: str, body: str, keep: str = "", ints: str = "", num: str = "", digits: int | None = None) -> str:
     cols = [f"{c}" for c in keep.split()]
     cols += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
-    cols += [f"round(CAST({c} AS DOUBLE) + {NUDGE!r}, {DIGITS}) + 0.0 AS {c}" for c in num.split()]
+    shift = "" if digits else f" + {NUDGE!r}"
+    cols += [f"round(CAST({c} AS DOUBLE){shift}, {digits or DIGITS}) + 0.0 AS {c}" for c in num.split()]
     return f"{with_clause}\nSELECT {', '.join(cols)} FROM (\n{body}\n) answer"
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, digits: int | None = None):
     def wrap(fn):
         assert name not in QUERIES, name
 
         def run(spark, sf_dir):
             ship_package(spark)
-            return tidy(fn(spark, sf_dir))
+            return tidy(fn(spark, sf_dir), digits)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

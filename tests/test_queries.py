@@ -1,6 +1,8 @@
 """A sample of registered queries against their SQL at the smallest useful scale (all: check.py)."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ import __spark_entry__ as entry
 import check
 
 SF = "/root/testdata/sf0.01"
-SAMPLE = ["synchronous_return_filter", "event_disposition", "driver_innovations", "sample_covariance", "greedy_forward", "gmv_weights", "signflip_maxt"]
+SAMPLE = ["synchronous_return_filter", "event_disposition", "driver_innovations", "sample_covariance", "greedy_forward", "gmv_weights", "signflip_maxt", "poet_two_series", "factor_form_gmv"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
@@ -31,3 +33,9 @@ def test_flagship_returns_rows(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_entry_imports_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
