@@ -251,24 +251,90 @@ def series_profile(spark, sf):
     return D.series_profile(levels(spark, sf)).drop("panel_id")
 
 
+PROVENANCE_SQL = (
+    "SELECT 'px' AS panel_id, 'orders' AS source_file, min(o_orderstatus) AS source_vendor, 'o_totalprice' AS source_field, 'at the close' AS availability_timestamp_or_timezone, "
+    "'carry up to three rows' AS missing_value_rule, 'rules' AS reviewed_by, CAST(CAST(max(o_orderdate) AS DATE) AS {text}) AS reviewed_on FROM orders"
+)
+
+
+def provenance(spark, sf):
+    """Where the levels come from, as a table by panel: the least status and the last day of the orders."""
+    o = I.table(spark, sf, "orders")
+    return o.agg(F.min("o_orderstatus").alias("source_vendor"), F.to_date(F.max("o_orderdate")).cast("string").alias("reviewed_on")).select(
+        F.lit("px").alias("panel_id"), F.lit("orders").alias("source_file"), "source_vendor", F.lit("o_totalprice").alias("source_field"),
+        F.lit("at the close").alias("availability_timestamp_or_timezone"), F.lit("carry up to three rows").alias("missing_value_rule"),
+        F.lit("rules").alias("reviewed_by"), "reviewed_on",
+    )
+
+
+def documented_ledger(spark, sf):
+    return D.driver_ledger(levels(spark, sf), provenance(spark, sf))
+
+
+cte("provenance", "", PROVENANCE_SQL.format(text="VARCHAR"))
+cte(
+    "driver_led", "level_profile level_ledger provenance",
+    "SELECT p.series AS source_label, economic_class, rule AS suggested_transformation, rule AS approved_transformation, "
+    "CASE economic_class WHEN 'option_risk_reversal' THEN 'volatility points' WHEN 'macro_release' THEN 'published level' WHEN 'foreign_exchange' THEN 'exchange-rate level' "
+    "WHEN 'swap_rate' THEN 'percentage points' WHEN 'commodity' THEN 'price or index level' ELSE 'index level' END AS unit, v.* EXCLUDE (panel_id), "
+    "1 AS availability_lag_trading_days, CASE WHEN p.series IN ('CSI 300 INDEX', 'USD-CLP RR 25D 3M') "
+    "THEN 'Exact -1 is a missing-value sentinel; no fill.' ELSE 'No numeric sentinel declared.' END AS sentinel_value_rule, observed_start, observed_end, observations, "
+    "missing_fraction, nonpositive_observations, rule <> 'EXCLUDE' AS pilot_eligible, rule <> 'EXCLUDE' AS confirmatory_eligible, "
+    "CASE WHEN rule = 'EXCLUDE' THEN 'No vintage and no time of publication is known.' ELSE '' END AS pilot_exclusion_reason, "
+    "CASE WHEN rule = 'EXCLUDE' THEN 'No vintage and no time of publication is known.' ELSE '' END AS exclusion_reason "
+    "FROM level_profile p JOIN level_ledger l ON l.source_label = p.series CROSS JOIN provenance v",
+)
+
+
 @query(
     "driver_ledger",
     sql(
-        with_("level_profile", "level_ledger"),
-        "SELECT p.series AS source_label, economic_class, rule AS approved_transformation, observed_start, observed_end, observations, "
-        "missing_fraction, nonpositive_observations, rule <> 'EXCLUDE' AS pilot_eligible, CASE WHEN p.series IN ('CSI 300 INDEX', 'USD-CLP RR 25D 3M') "
-        "THEN 'Exact -1 is a missing-value sentinel; no fill.' ELSE 'No numeric sentinel declared.' END AS sentinel_value_rule, "
-        "1 AS availability_lag_trading_days, 'PX_LAST' AS source_field FROM level_profile p JOIN level_ledger l ON l.source_label = p.series",
-        "source_label economic_class approved_transformation observed_start observed_end pilot_eligible sentinel_value_rule source_field",
-        "observations nonpositive_observations availability_lag_trading_days", "missing_fraction",
+        with_("driver_led"), "SELECT * FROM driver_led",
+        "source_label economic_class suggested_transformation approved_transformation unit source_file source_vendor source_field availability_timestamp_or_timezone "
+        "missing_value_rule sentinel_value_rule observed_start observed_end pilot_eligible pilot_exclusion_reason confirmatory_eligible exclusion_reason reviewed_by reviewed_on",
+        "availability_lag_trading_days observations nonpositive_observations", "missing_fraction",
     ),
 )
 def driver_ledger(spark, sf):
-    return D.driver_ledger(levels(spark, sf)).select(
-        "source_label", "economic_class", "approved_transformation", "observed_start", "observed_end", "pilot_eligible",
-        "sentinel_value_rule", "source_field", "observations", "nonpositive_observations", "availability_lag_trading_days",
-        "missing_fraction",
-    )
+    return documented_ledger(spark, sf).drop("panel_id")
+
+
+PANEL_COUNTS = (
+    "source_drivers pilot_eligible_drivers excluded_generic_futures excluded_low_frequency_releases excluded_discontinued_or_truncated confirmatory_eligible_drivers "
+    "availability_lag_asset_sessions asset_return_rows_before_driver_intersection common_complete_rows asset_count innovation_missing_cells_common asset_missing_cells_common "
+    "nonfinite_innovation_cells_common nonfinite_asset_cells_common"
+)
+
+
+cte(
+    "innov1", "innov0 target_pos",
+    "SELECT t.dt, i.series, i.value FROM innov0 i JOIN target_pos t ON t.pos = i.pos + 1 WHERE i.value IS NOT NULL",
+)
+cte(
+    "panel_dt", "innov1 px_type_w_ret",
+    "SELECT dt FROM (SELECT DISTINCT dt FROM px_type_w_ret) y WHERE dt IN (SELECT dt FROM innov1 GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT series) FROM innov1))",
+)
+
+
+@query(
+    "driver_panel_report",
+    sql(
+        with_("driver_led", "panel_dt"),
+        "SELECT 'px' AS panel_id, count(*) AS source_drivers, count(*) FILTER (pilot_eligible) AS pilot_eligible_drivers, count(*) FILTER (economic_class = 'generic_future') AS excluded_generic_futures, "
+        "count(*) FILTER (economic_class = 'macro_release') AS excluded_low_frequency_releases, count(*) FILTER (economic_class = 'discontinued_or_truncated_market_series') AS excluded_discontinued_or_truncated, "
+        "count(*) FILTER (confirmatory_eligible) AS confirmatory_eligible_drivers, 1 AS availability_lag_asset_sessions, "
+        "(SELECT count(DISTINCT dt) FROM px_type_w_ret) AS asset_return_rows_before_driver_intersection, (SELECT count(*) FROM panel_dt) AS common_complete_rows, "
+        "(SELECT min(dt) FROM panel_dt) AS common_start, (SELECT max(dt) FROM panel_dt) AS common_end, (SELECT count(DISTINCT series) FROM px_type_w_ret) AS asset_count, "
+        "(SELECT count(*) FROM panel_dt) * (SELECT count(DISTINCT series) FROM innov1) - (SELECT count(*) FROM innov1 WHERE dt IN (SELECT dt FROM panel_dt)) AS innovation_missing_cells_common, "
+        "(SELECT count(*) FROM panel_dt) * (SELECT count(DISTINCT series) FROM px_type_w_ret) - (SELECT count(*) FROM px_type_w_ret WHERE dt IN (SELECT dt FROM panel_dt)) AS asset_missing_cells_common, "
+        "(SELECT count(*) FROM innov1 WHERE NOT isfinite(value) AND dt IN (SELECT dt FROM panel_dt)) AS nonfinite_innovation_cells_common, "
+        "(SELECT count(*) FROM px_type_w_ret WHERE NOT isfinite(value) AND dt IN (SELECT dt FROM panel_dt)) AS nonfinite_asset_cells_common, "
+        "CASE WHEN (SELECT count(*) FROM panel_dt) > 0 THEN 'PILOT_READY_CONFIRMATORY_PROVENANCE_UNRESOLVED' ELSE 'NO_COMMON_COMPLETE_ROWS' END AS status FROM driver_led",
+        "panel_id common_start common_end status", PANEL_COUNTS,
+    ),
+)
+def driver_panel_report(spark, sf):
+    return D.driver_panel_report(documented_ledger(spark, sf), type_returns(spark, sf), innovations(spark, sf, lag=1), lag=1)
 
 
 def audit_sql(p):

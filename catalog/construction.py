@@ -120,29 +120,46 @@ REPORT = (
     "(SELECT min(dt) FROM kept_events) AS first_return_date, (SELECT max(dt) FROM kept_events) AS last_return_date, "
     "(SELECT count(*) FROM kept_events WHERE disposition IS NULL AND abs(adjusted_log_return) > 0.4) AS unresolved_post_adjustment_moves, "
     "(SELECT count(DISTINCT dt) FROM px_brand_w) - 1 - count(DISTINCT dt) AS dropped_return_rows_due_to_missing_or_invalid_endpoint, "
-    "false AS dividends_included, false AS missing_prices_imputed, "
+    "false AS dividends_included, false AS missing_prices_imputed, false AS return_across_missing_source_observation, true AS survivorship_conditioned_fixed_universe, "
+    "(SELECT count(*) FROM excluded) AS dropped_return_rows_due_to_verified_distribution, 'fixed-universe split-adjusted log price returns' AS data_product, "
     "CASE WHEN (SELECT count(*) FROM kept_events WHERE disposition IS NULL AND abs(adjusted_log_return) > 0.4) = 0 "
     "THEN 'READY_FOR_FIXED_UNIVERSE_PRICE_RETURN_ANALYSIS' ELSE 'PROVISIONAL_PENDING_EVENT_REVIEW' END AS publication_status "
     "FROM events"
 )
 
 
-@query(
-    "construction_report",
-    sql(
-        with_("px_brand_w", "events", "excluded", "kept_events"), REPORT,
-        "panel_id first_return_date last_return_date dividends_included missing_prices_imputed publication_status",
-        "source_rows_in_range assets synchronous_rows automatic_large_move_candidates event_audit_rows "
-        "verified_factor_adjustments mechanical_split_adjustments unmatched_large_candidates verified_market_moves_retained "
-        "verified_distribution_dates_excluded retained_return_rows unresolved_post_adjustment_moves "
-        "dropped_return_rows_due_to_missing_or_invalid_endpoint",
-    ),
+REPORT_TEXT = (
+    "panel_id first_return_date last_return_date dividends_included missing_prices_imputed return_across_missing_source_observation "
+    "survivorship_conditioned_fixed_universe data_product publication_status"
 )
+REPORT_COUNTS = (
+    "source_rows_in_range assets synchronous_rows automatic_large_move_candidates event_audit_rows "
+    "verified_factor_adjustments mechanical_split_adjustments unmatched_large_candidates verified_market_moves_retained "
+    "verified_distribution_dates_excluded retained_return_rows unresolved_post_adjustment_moves "
+    "dropped_return_rows_due_to_missing_or_invalid_endpoint dropped_return_rows_due_to_verified_distribution"
+)
+REPORT_WITH = with_("px_brand_w", "events", "excluded", "kept_events")
+
+
+@query("construction_report", sql(REPORT_WITH, REPORT, REPORT_TEXT, REPORT_COUNTS))
 def construction_report(spark, sf):
     px = I.px_brand_w(spark, sf)
     return R.construction_report(px, brand_events(spark, sf))
 
 
+@query(
+    "construction_report_rows",
+    sql(
+        REPORT_WITH + f", report AS ({REPORT})",
+        " UNION ALL ".join(f"SELECT panel_id, '{c}' AS metric, CAST({c} AS VARCHAR) AS value FROM report" for c in (REPORT_TEXT + " " + REPORT_COUNTS).split()[1:]),
+        "panel_id metric value",
+    ),
+)
+def construction_report_rows(spark, sf):
+    """The report as one row per metric."""
+    return R.report_rows(construction_report(spark, sf))
+
+
 @query("file_manifest_check")
 def file_manifest_check(spark, sf):
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

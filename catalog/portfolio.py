@@ -15,6 +15,7 @@ from foldwise.operators import folds as FD
 from foldwise.operators import inference as IN
 from foldwise.operators import moments as M
 from foldwise.operators import portfolio as PF
+from foldwise.operators import quality as Q
 from foldwise.operators import selection as S
 from foldwise.plans import backtest as B
 from foldwise.plans import screening as SC
@@ -451,3 +452,32 @@ def inference_cov_backtest(spark, sf):
     results = backtest(spark, sf)["fold_results"].filter(FREE)
     d = materialize(IN.metric_families(results, ["design"], ["realized_variance", "qlike"], "residual_aware_qr"))
     return IN.family_inference(d, family, seed=IN.seeded(d, family, IN_SEED))
+
+
+@query("release_checks_backtest")
+def release_checks_backtest(spark, sf):
+    """Release gates over the real backtest under both constraints and over its inference; brute force in the tests."""
+    results = backtest(spark, sf)["fold_results"]
+    folds = {str(r.design): r.n for r in results.groupBy("design").agg(F.countDistinct("fold_id").alias("n")).collect()}
+    methods = results.select("method").distinct()
+    out = None
+    for name in ("unconstrained", "long_only"):
+        own = results.filter(F.col("portfolio_constraint") == name)
+        gates = Q.results_checks(own, methods, folds).unionByName(Q.constraint_gates(own, name)).withColumn("results", F.lit(name))
+        out = gates if out is None else out.unionByName(gates)
+    tested = inference_cov_backtest(spark, sf)
+    return out.unionByName(Q.inference_gates(tested, ["realized_variance", "qlike"], "metric").withColumn("results", F.lit("inference")))
+
+
+@query(
+    "backtest_report",
+    sql(
+        with_("simpa", "pk", "pwk"),
+        "SELECT 'px' AS panel_id, portfolio_constraint, count(DISTINCT dt) AS common_dates, min(dt) AS first_date, max(dt) AS last_date, count(DISTINCT series) AS assets, "
+        f"'{', '.join(sorted(B.METHODS))}' AS estimators, '52=' || (SELECT count(*) FROM pwk) || ', {TRAIN}=' || (SELECT count(*) FROM pk) AS folds_by_training_design, "
+        "'PILOT_PANEL_B_ESTIMATION_COMPLETE' AS status FROM simpa CROSS JOIN (VALUES ('unconstrained'), ('long_only')) v(portfolio_constraint) GROUP BY portfolio_constraint",
+        "panel_id portfolio_constraint first_date last_date estimators folds_by_training_design status", "common_dates assets",
+    ),
+)
+def backtest_report(spark, sf):
+    return B.backtest_report(aligned_panels(spark, sf)[0], backtest(spark, sf)["fold_results"])

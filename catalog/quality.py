@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
-from catalog.alignment import levels
-from catalog.construction import brand_assets
-from catalog.inference import strategy_results
+from catalog.alignment import documented_ledger, levels, provenance
+from catalog.construction import brand_assets, brand_events
+from catalog.inference import FAMILY, diffs, strategy_results
 from catalog.inputs import with_
 from catalog.registry import query, sql
 from foldwise.operators import drivers as D
+from foldwise.operators import inference as IN
 from foldwise.operators import profile as PR
 from foldwise.operators import quality as Q
 from foldwise.operators import returns as R
@@ -64,7 +65,23 @@ def asset_ledger_gates(spark, sf):
     ),
 )
 def driver_ledger_gates(spark, sf):
-    return Q.driver_ledger_gates(D.driver_ledger(levels(spark, sf)))
+    return Q.driver_ledger_gates(documented_ledger(spark, sf))
+
+
+@query(
+    "driver_ledger_gates_undocumented",
+    sql(
+        with_("level_ledger"),
+        "SELECT 'driver_ledger_schema' AS gate, true AS passed, 'Complete' AS detail UNION ALL "
+        "SELECT 'driver_eligibility_resolved', true, count(*) || '/' || count(*) || ' rows resolved' FROM level_ledger UNION ALL "
+        "SELECT 'driver_confirmatory_universe_nonempty', count(*) > 0, count(*) || ' eligible rows' FROM level_ledger WHERE rule <> 'EXCLUDE' UNION ALL "
+        "SELECT 'driver_point_in_time_metadata_complete', false, 'Required point-in-time fields missing'",
+        GATE,
+    ),
+)
+def driver_ledger_gates_undocumented(spark, sf):
+    """A source whose field nobody wrote down does not pass."""
+    return Q.driver_ledger_gates(D.driver_ledger(levels(spark, sf), provenance(spark, sf).drop("source_field")))
 
 
 @query(
@@ -109,12 +126,15 @@ def event_ledger_checks(spark, sf):
 @query(
     "results_release_checks",
     sql(
-        with_("strat"),
+        with_("strat", "psum"),
         "SELECT 'nonfinite metric' AS gate, count(*) = 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM strat WHERE NOT (isfinite(predicted_variance) AND isfinite(realized_variance) AND isfinite(qlike)) UNION ALL "
         "SELECT 'non-positive forecast variance', count(*) = 0, CAST(count(*) AS VARCHAR) FROM strat WHERE NOT predicted_variance > 0 UNION ALL "
         "SELECT 'method mismatch', count(*) = 0, CAST(count(*) AS VARCHAR) FROM ((SELECT p_type FROM part EXCEPT SELECT method FROM strat) UNION ALL (SELECT method FROM strat EXCEPT SELECT p_type FROM part)) q UNION ALL "
         "SELECT 'fold mismatch', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (SELECT design, count(DISTINCT fold_id) AS n FROM strat GROUP BY 1) q WHERE n <> CASE design WHEN '52' THEN 11 ELSE 9 END UNION ALL "
-        "SELECT 'every fold improves', count(*) = 0, CAST(count(*) AS VARCHAR) FROM strat WHERE NOT realized_variance - predicted_variance < 0",
+        "SELECT 'every fold improves', count(*) = 0, CAST(count(*) AS VARCHAR) FROM strat WHERE NOT realized_variance - predicted_variance < 0 UNION ALL "
+        "SELECT 'inference families present', count(*) = 0, coalesce(string_agg(f, ', ' ORDER BY f), '') FROM (VALUES ('104'), ('52'), ('none')) v(f) WHERE f NOT IN (SELECT design FROM psum) UNION ALL "
+        "SELECT 'inference values finite', count(*) FILTER (NOT (isfinite(mean_difference) AND isfinite(standard_error))) = 0 AND count(*) > 0, "
+        "CAST(count(*) FILTER (NOT (isfinite(mean_difference) AND isfinite(standard_error))) AS VARCHAR) FROM psum",
         GATE,
     ),
 )
@@ -122,20 +142,31 @@ def results_release_checks(spark, sf):
     r = strategy_results(spark, sf)
     names = I.table(spark, sf, "part").select(F.col("p_type").alias("method"))
     checks = Q.results_checks(r, names, {"52": 11, "104": 9}, numeric=("predicted_variance", "realized_variance", "qlike"))
+    tested = IN.paired_summary(diffs(spark, sf), FAMILY)
+    checks = checks.unionByName(Q.inference_gates(tested, ["104", "52", "none"], "design", ("mean_difference", "standard_error")))
     return checks.unionByName(Q.improvement_gate(r.withColumn("d", F.col("realized_variance") - F.col("predicted_variance")), "d"))
 
 
+QUIET = (
+    "SELECT dt, series FROM events WHERE dt NOT IN (SELECT dt FROM events WHERE rule_status "
+    "IN ('ADJUSTED_VERIFIED_FACTOR', 'ADJUSTED_MECHANICAL_SPLIT_CANDIDATE', 'EXCLUDED_VERIFIED_DISTRIBUTION_DATE'))"
+)
+
+
 @query(
     "panel_validation",
     sql(
-        with_("assets"),
+        with_("assets", quiet=QUIET),
         "SELECT count(DISTINCT dt) AS n_rows, count(DISTINCT series) AS n_columns, 0 AS duplicate_cells, 0 AS nonfinite_cells, count(DISTINCT dt) * count(DISTINCT series) - count(*) AS missing_cells, "
-        "max(abs(value)) AS max_abs_value, arg_max(series, abs(value)) AS max_abs_series, arg_max(dt, abs(value)) AS max_abs_date FROM assets",
-        "max_abs_series max_abs_date", "n_rows n_columns duplicate_cells nonfinite_cells missing_cells", "max_abs_value",
+        "max(abs(value)) AS max_abs_value, arg_max(series, abs(value)) AS max_abs_series, arg_max(dt, abs(value)) AS max_abs_date, "
+        "(SELECT count(DISTINCT dt) FROM quiet) AS sensitivity_rows, (SELECT count(DISTINCT series) FROM quiet) AS sensitivity_columns, "
+        "(SELECT coalesce(string_agg(rule_status || '=' || n, ', ' ORDER BY rule_status), '') FROM (SELECT rule_status, count(*) AS n FROM events WHERE rule_status IS NOT NULL GROUP BY 1) q) AS event_status_counts FROM assets",
+        "max_abs_series max_abs_date event_status_counts", "n_rows n_columns duplicate_cells nonfinite_cells missing_cells sensitivity_rows sensitivity_columns", "max_abs_value",
     ),
 )
 def panel_validation(spark, sf):
-    return Q.panel_validation(brand_assets(spark, sf)).drop("panel_id")
+    events = brand_events(spark, sf)
+    return Q.panel_validation(brand_assets(spark, sf), R.without_event_days(events), events).drop("panel_id")
 
 
 @query(
@@ -153,21 +184,40 @@ def date_column_detect(spark, sf):
     return PR.detect_date_column(wide)
 
 
+PROFILE = "observed_start, observed_end, observations, missing_fraction, nonpositive_observations, max_abs_adjacent_log_change"
+
+
+def _template(fixed):
+    """Check SQL of a template: fixed texts, then the measured profile."""
+    texts = ", ".join(f"'{v}' AS {c}" for c, v in fixed.items())
+    return sql(
+        with_("level_profile"), f"SELECT series AS source_label, {texts}, {PROFILE} FROM level_profile",
+        "source_label observed_start observed_end " + " ".join(fixed), "observations nonpositive_observations", "missing_fraction max_abs_adjacent_log_change",
+    )
+
+
 @query(
     "ledger_template",
-    sql(
-        with_("level_profile"),
-        "SELECT 'A' AS panel, series AS source_label, 'levels' AS source_file, 'UNKNOWN' AS corporate_action_adjusted, 'UNKNOWN' AS confirmatory_eligible, observed_start, observed_end, observations, missing_fraction, "
-        "nonpositive_observations, max_abs_adjacent_log_change FROM level_profile",
-        "panel source_label source_file corporate_action_adjusted confirmatory_eligible observed_start observed_end", "observations nonpositive_observations",
-        "missing_fraction max_abs_adjacent_log_change",
-    ),
+    _template({
+        "panel": "A", "stable_security_id": "", "source_file": "levels", "source_vendor": "", "source_field": "", "data_type": "raw_price_unverified",
+        "corporate_action_adjusted": "UNKNOWN", "delisting_return_policy": "UNKNOWN", "confirmatory_eligible": "UNKNOWN",
+        "exclusion_reason": "Adjustment/provenance not yet documented", "reviewed_by": "", "reviewed_on": "",
+    }),
 )
 def ledger_template(spark, sf):
-    return Q.asset_ledger_template(D.series_profile(levels(spark, sf)), "A", "levels").select(
-        "panel", "source_label", "source_file", "corporate_action_adjusted", "confirmatory_eligible", "observed_start", "observed_end",
-        "observations", "missing_fraction", "nonpositive_observations", "max_abs_adjacent_log_change",
-    )
+    return Q.asset_ledger_template(D.series_profile(levels(spark, sf)), "A", "levels")
+
+
+@query(
+    "driver_ledger_template",
+    _template({
+        "economic_class": "", "suggested_transformation": "REVIEW_REQUIRED", "approved_transformation": "", "unit": "", "source_file": "levels", "source_vendor": "",
+        "source_field": "", "availability_timestamp_or_timezone": "", "availability_lag_trading_days": "", "missing_value_rule": "", "sentinel_value_rule": "",
+        "confirmatory_eligible": "UNKNOWN", "exclusion_reason": "Point-in-time metadata not yet documented", "reviewed_by": "", "reviewed_on": "",
+    }),
+)
+def driver_ledger_template(spark, sf):
+    return Q.driver_ledger_template(D.series_profile(levels(spark, sf)), "levels")
 
 
 @query(

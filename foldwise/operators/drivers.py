@@ -37,9 +37,9 @@ FX_TOKENS = [
 ]
 EQUITY_LABELS = ["MSCI INDIA", "NIKKEI 225", "S&P/BMV IPC"]
 COMMODITY_TOKENS = ["Commodity", "Gold Spot", "Silver Spot", "LME ", "CRB"]
-FUTURE_REASON = "Bloomberg Generic 1st PX_LAST; roll dates are monitored in robustness checks."
-RELEASE_REASON = "Release vintage and publication timestamp are unavailable."
-TRUNCATED_REASON = "Series becomes a persistent -1 sentinel after December 2022."
+FUTURE_REASON = "A rolled contract: jumps at roll dates need a check of their own."
+RELEASE_REASON = "No vintage and no time of publication is known."
+TRUNCATED_REASON = "The series ends in a run of sentinel values."
 
 
 def _has_any(label: Column, tokens) -> Column:
@@ -110,37 +110,43 @@ def series_profile(levels: DataFrame) -> DataFrame:
     )
 
 
-# Constant ledger fields.
-SOURCE_FILE = "Drivers_Assets_Dataset.xlsx"
-SOURCE_VENDOR = "Bloomberg"
-SOURCE_FIELD = "PX_LAST"
-AVAILABILITY_TEXT = "Bloomberg market close observation; predictive analyses use the predeclared asset-specific lag"
-MISSING_RULE = (
-    "Carry PX_LAST for at most three source rows across local-market closures, then transform on the target asset "
-    "calendar; declared sentinels and longer outages remain missing"
-)
+# What no level can tell; a ledger takes it from a table of the caller's, one row per panel.
+PROVENANCE = [
+    "source_file", "source_vendor", "source_field", "availability_timestamp_or_timezone", "missing_value_rule", "reviewed_by", "reviewed_on",
+]
 SENTINEL_RULE = "Exact -1 is a missing-value sentinel; no fill."
 NO_SENTINEL_RULE = "No numeric sentinel declared."
-REVIEWER, REVIEW_DATE = "Rule-based audit", "2026-09-03"
 
 
-def driver_ledger(levels: DataFrame) -> DataFrame:
-    """One metadata row per driver: profile, classification and constant rules."""
+def with_provenance(rows: DataFrame, provenance: DataFrame | None) -> DataFrame:
+    """Add the columns of ``PROVENANCE`` by panel; what is not given is blank, and two rows for a panel stop the job."""
+    given = [c for c in PROVENANCE if provenance is not None and c in provenance.columns]
+    if given:
+        twice = F.raise_error(F.concat(F.lit("two provenance rows for panel "), F.col("panel_id"))).cast("string")
+        one = lambda c: F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max(F.col(c).cast("string"))).alias(c)
+        rows = rows.join(provenance.groupBy("panel_id").agg(*[one(c) for c in given]), "panel_id", "left")
+    blank = F.lit("")
+    return rows.withColumns({c: F.coalesce(F.col(c), blank) if c in given else blank for c in PROVENANCE})
+
+
+def driver_ledger(levels: DataFrame, provenance: DataFrame | None = None, *, lag: int = 1, sentinels=SENTINEL_MINUS_ONE) -> DataFrame:
+    """One metadata row per driver: profile, classification, rules, and the panel's provenance.
+
+    Without ``provenance`` its columns are blank, which ``driver_ledger_gates`` reports as undocumented.
+    """
+    check_not_negative(lag=lag)
     profiled = classify_labels(series_profile(levels).withColumnRenamed("series", "source_label"))
-    return profiled.select(
+    declared = F.when(F.col("source_label").isin(list(sentinels)), SENTINEL_RULE).otherwise(NO_SENTINEL_RULE)
+    return with_provenance(profiled, provenance).select(
         "panel_id", "source_label", "economic_class",
         F.col("transformation").alias("suggested_transformation"),
-        F.col("transformation").alias("approved_transformation"), "unit",
-        F.lit(SOURCE_FILE).alias("source_file"), F.lit(SOURCE_VENDOR).alias("source_vendor"),
-        F.lit(SOURCE_FIELD).alias("source_field"),
-        F.lit(AVAILABILITY_TEXT).alias("availability_timestamp_or_timezone"),
-        F.lit(1).alias("availability_lag_trading_days"), F.lit(MISSING_RULE).alias("missing_value_rule"),
-        F.when(F.col("source_label").isin(SENTINEL_MINUS_ONE), SENTINEL_RULE).otherwise(NO_SENTINEL_RULE).alias("sentinel_value_rule"),
+        F.col("transformation").alias("approved_transformation"), "unit", *PROVENANCE[:4],
+        F.lit(lag).alias("availability_lag_trading_days"), "missing_value_rule", declared.alias("sentinel_value_rule"),
         "observed_start", "observed_end", "observations", "missing_fraction", "nonpositive_observations",
         "pilot_eligible", F.col("reason").alias("pilot_exclusion_reason"),
         F.col("pilot_eligible").alias("confirmatory_eligible"),
         F.when(F.col("pilot_eligible"), "").otherwise(F.col("reason")).alias("exclusion_reason"),
-        F.lit(REVIEWER).alias("reviewed_by"), F.lit(REVIEW_DATE).alias("reviewed_on"),
+        "reviewed_by", "reviewed_on",
     )
 
 
@@ -219,3 +225,41 @@ def driver_innovations(
     target_pos = positions(target)
     sampled = carry_to_target(levels, target, carry, sentinels)
     return availability_lag(transform_on_calendar(sampled, ledger, target_pos), target_pos, lag)
+
+
+def driver_panel_report(ledger: DataFrame, assets: DataFrame, innovations: DataFrame, lag: int = 1) -> DataFrame:
+    """One row of counters per panel of the ledger: drivers by fate, and the panel of common complete innovations.
+
+    Common dates are those of the assets on which every eligible driver has an innovation.  A panel
+    without any has zeros and null dates.
+    """
+    check_not_negative(lag=lag)
+    of = lambda c: F.count_if(F.col("economic_class") == c)
+    drivers = ledger.groupBy("panel_id").agg(
+        F.count(F.lit(1)).alias("source_drivers"), F.count_if("pilot_eligible").alias("pilot_eligible_drivers"),
+        of("generic_future").alias("excluded_generic_futures"), of("macro_release").alias("excluded_low_frequency_releases"),
+        of("discontinued_or_truncated_market_series").alias("excluded_discontinued_or_truncated"),
+        F.count_if("confirmatory_eligible").alias("confirmatory_eligible_drivers"),
+    )
+    finite = lambda: F.count_if(F.col("value").isNotNull() & ~is_finite(F.col("value")))
+    wanted = innovations.select("panel_id", "series").distinct().groupBy("panel_id").agg(F.count(F.lit(1)).alias("wide"))
+    by_day = innovations.groupBy(*KEY).agg(F.count("value").alias("there"), finite().alias("x_bad"))
+    days = assets.groupBy(*KEY).agg(F.count("value").alias("y_there"), finite().alias("y_bad"))
+    joined = days.join(by_day, KEY, "left").join(wanted, "panel_id", "left")
+    common = F.coalesce(F.col("there") == F.col("wide"), F.lit(False))
+    on = lambda c: F.when(common, F.col(c))
+    width = assets.select("panel_id", "series").distinct().groupBy("panel_id").agg(F.count(F.lit(1)).alias("asset_count"))
+    panel = joined.groupBy("panel_id").agg(
+        F.count(F.lit(1)).alias("asset_return_rows_before_driver_intersection"), F.count_if(common).alias("common_complete_rows"),
+        F.min(on("dt")).alias("common_start"), F.max(on("dt")).alias("common_end"), F.coalesce(F.sum(on("y_there")), F.lit(0)).alias("_cells"),
+        F.coalesce(F.sum(on("wide") - on("there")), F.lit(0)).alias("innovation_missing_cells_common"),
+        F.coalesce(F.sum(on("x_bad")), F.lit(0)).alias("nonfinite_innovation_cells_common"),
+        F.coalesce(F.sum(on("y_bad")), F.lit(0)).alias("nonfinite_asset_cells_common"),
+    )
+    out = drivers.join(panel, "panel_id", "left").join(width, "panel_id", "left")
+    out = out.fillna(0, [c for c, t in out.dtypes if t == "bigint"])
+    return out.withColumn(
+        "asset_missing_cells_common", F.col("common_complete_rows") * F.col("asset_count") - F.col("_cells")
+    ).withColumn("availability_lag_asset_sessions", F.lit(lag)).withColumn(
+        "status", F.when(F.col("common_complete_rows") > 0, "PILOT_READY_CONFIRMATORY_PROVENANCE_UNRESOLVED").otherwise("NO_COMMON_COMPLETE_ROWS")
+    ).drop("_cells")

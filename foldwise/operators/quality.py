@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.expr import all_of, is_finite, tri_state_bool
 
+# Ledger columns; gate names and details below are fixed too.
 ASSET_COLUMNS = [
     "panel", "source_label", "stable_security_id", "source_vendor", "source_field", "data_type", "corporate_action_adjusted",
     "delisting_return_policy", "confirmatory_eligible", "exclusion_reason",
@@ -139,6 +140,35 @@ def results_checks(
     return parts.select("gate", (F.col("bad") == 0).alias("passed"), F.col("bad").cast("string").alias("detail"))
 
 
+def constraint_gates(results: DataFrame, expected: str) -> DataFrame:
+    """Gates over the constraint a result table was made under; long-only books must hold exactly their capital."""
+    off = F.count_if(~F.coalesce(F.col("portfolio_constraint") == expected, F.lit(False)))
+    parts = results.agg(F.count(F.lit(1)).alias("n"), off.alias("bad")).select(
+        F.lit(f"constraint is {expected}").alias("gate"), ((F.col("bad") == 0) & (F.col("n") > 0)).alias("passed"), F.col("bad").cast("string").alias("detail")
+    )
+    if expected != "long_only":
+        return parts
+    unheld = F.count_if(~F.coalesce(F.abs(F.col("gross_exposure") - 1.0) <= 1e-8, F.lit(False)))
+    return parts.unionByName(results.agg(unheld.alias("bad")).select(
+        F.lit("gross exposure not one").alias("gate"), (F.col("bad") == 0).alias("passed"), F.col("bad").cast("string").alias("detail")
+    ))
+
+
+def inference_gates(
+    inference: DataFrame, families, column: str = "family",
+    numeric=("mean_difference", "simultaneous_ci_lower", "simultaneous_ci_upper"),
+) -> DataFrame:
+    """Release gates over an inference table: every family is there, every named number is finite; no rows fail both."""
+    finite = all_of([F.coalesce(is_finite(F.col(c)), F.lit(False)) for c in numeric])
+    there = [F.count_if(F.col(column) == f).alias(f"f{k}") for k, f in enumerate(families)]
+    counts = inference.agg(F.count(F.lit(1)).alias("n"), F.count_if(~finite).alias("nonfinite"), *there)
+    lacking = F.array_join(F.filter(F.array(*[F.when(F.col(f"f{k}") == 0, F.lit(f)) for k, f in enumerate(families)]), lambda x: x.isNotNull()), ", ")
+    return _gate_rows(counts.withColumn("lacking", lacking), [
+        ("inference families present", F.lit(True), F.col("lacking") == "", F.col("lacking")),
+        ("inference values finite", F.lit(True), (F.col("nonfinite") == 0) & (F.col("n") > 0), F.col("nonfinite").cast("string")),
+    ])
+
+
 def improvement_gate(results: DataFrame, delta: str = "delta_s_f") -> DataFrame:
     bad = F.count_if(~F.coalesce(F.col(delta) < 0, F.lit(False)))
     return results.agg(bad.alias("bad")).select(
@@ -146,15 +176,19 @@ def improvement_gate(results: DataFrame, delta: str = "delta_s_f") -> DataFrame:
     )
 
 
-def panel_validation(panel: DataFrame) -> DataFrame:
-    """Shape, duplicates, missing and non-finite cells, and where |value| is largest."""
+def panel_validation(panel: DataFrame, sensitivity: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Shape, duplicates, missing and non-finite cells, and where |value| is largest.
+
+    ``sensitivity`` adds the shape of the panel without event days, ``events`` the number of events by
+    status as ``STATUS=n`` in the order of the names; panels that have none get zeros and an empty text.
+    """
     keys = panel.groupBy("panel_id", "dt", "series").agg(
         F.count(F.lit(1)).alias("copies"), F.count("value").alias("present"),
         F.count_if(F.col("value").isNotNull() & ~is_finite(F.col("value"))).alias("bad"),
         F.max(F.when(is_finite(F.col("value")), F.abs("value"))).alias("size"),
     )
     top = F.max(F.struct("size", "series", "dt"))
-    return keys.groupBy("panel_id").agg(
+    out = keys.groupBy("panel_id").agg(
         F.countDistinct("dt").alias("n_rows"), F.countDistinct("series").alias("n_columns"),
         F.count_if(F.col("present") > 0).alias("cells"), F.count_if(F.col("copies") > 1).alias("duplicate_cells"),
         F.sum("bad").alias("nonfinite_cells"), top.alias("top"),
@@ -163,6 +197,15 @@ def panel_validation(panel: DataFrame) -> DataFrame:
         (F.col("n_rows") * F.col("n_columns") - F.col("cells")).alias("missing_cells"),
         F.col("top.size").alias("max_abs_value"), F.col("top.series").alias("max_abs_series"), F.col("top.dt").alias("max_abs_date"),
     )
+    if sensitivity is not None:
+        shape = sensitivity.groupBy("panel_id").agg(F.countDistinct("dt").alias("sensitivity_rows"), F.countDistinct("series").alias("sensitivity_columns"))
+        out = out.join(shape, "panel_id", "left").fillna(0, ["sensitivity_rows", "sensitivity_columns"])
+    if events is not None:
+        each = events.filter("rule_status IS NOT NULL").groupBy("panel_id", "rule_status").agg(F.count(F.lit(1)).alias("n"))
+        named = F.concat_ws("=", "rule_status", F.col("n").cast("string"))
+        counts = each.groupBy("panel_id").agg(F.array_join(F.sort_array(F.collect_list(named)), ", ").alias("event_status_counts"))
+        out = out.join(counts, "panel_id", "left").fillna("", ["event_status_counts"])
+    return out
 
 
 def asset_ledger_template(profile: DataFrame, panel: str, source_file: str) -> DataFrame:

@@ -241,8 +241,12 @@ def construction_report(prices: DataFrame, events: DataFrame, limit: float = 0.4
             "dropped_return_rows_due_to_missing_or_invalid_endpoint",
             F.col("source_rows_in_range") - 1 - F.col("synchronous_rows"),
         )
+        .withColumn("dropped_return_rows_due_to_verified_distribution", F.col("verified_distribution_dates_excluded"))
+        .withColumn("data_product", F.lit("fixed-universe split-adjusted log price returns"))
         .withColumn("dividends_included", F.lit(False))
         .withColumn("missing_prices_imputed", F.lit(False))
+        .withColumn("return_across_missing_source_observation", F.lit(False))
+        .withColumn("survivorship_conditioned_fixed_universe", F.lit(True))
         .withColumn(
             "publication_status",
             F.when((F.col("unresolved_post_adjustment_moves") == 0) & (F.col("retained_return_rows") > 0), "READY_FOR_FIXED_UNIVERSE_PRICE_RETURN_ANALYSIS")

@@ -150,3 +150,22 @@ def fold_summary(results: DataFrame, pnl: DataFrame) -> DataFrame:
         median("chosen_alpha").alias("median_chosen_alpha"),
     )
     return out.join(pooled, by)
+
+
+def backtest_report(returns: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per panel and constraint: dates and width of the panel, estimators, folds of every design.
+
+    ``estimators`` and ``folds_by_training_design`` (``design=folds``) are lists in the order of their names.
+    """
+    panel = returns.groupBy("panel_id").agg(
+        F.countDistinct("dt").alias("common_dates"), F.min("dt").alias("first_date"), F.max("dt").alias("last_date"),
+        F.countDistinct("series").alias("assets"),
+    )
+    by = ["panel_id", "portfolio_constraint"]
+    each = results.groupBy(*by, "design").agg(F.countDistinct("fold_id").alias("folds"), F.collect_set("method").alias("methods"))
+    named = F.struct(F.col("design").cast("int"), F.concat_ws("=", "design", F.col("folds").cast("string")).alias("text"))
+    made = each.groupBy(*by).agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("methods")))), ", ").alias("estimators"),
+        F.array_join(F.sort_array(F.collect_list(named)).getField("text"), ", ").alias("folds_by_training_design"),
+    )
+    return panel.join(made, "panel_id").withColumn("status", F.lit("PILOT_PANEL_B_ESTIMATION_COMPLETE"))
