@@ -14,6 +14,10 @@ Defined results: a null page is an empty payload; a null URL has an empty key an
 pages with equal ids and equal payloads are all responses if theirs is the smallest id; a null id
 is never the response that others refer to unless no numbered page has the payload, and then all
 are responses; an empty table gives an empty archive and an empty history.
+
+Pages of unlike size go to archives of their own: a size class is written with as many records a
+file as its mean size allows, and never more than its largest record allows, so no archive passes
+``ARCHIVE_LIMIT`` unless a single record does.  Equal payloads are in one class.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from foldwise.session import checkpoint_dir, materialize
 
 REVISIT_FROM = 100
 ARCHIVE_BYTES = 32 << 20
+ARCHIVE_LIMIT = 256 << 20
+SMALL_PAGE = 64 << 10
+CLASS_FACTOR = 16
+RECORD_HEAD = 1024
 RANGE_ROWS = 100_000
 # Field names and the revisit profile of the WARC 1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,11 +95,26 @@ def record() -> Column:
     )
 
 
-def write(captures: DataFrame, path: str, mean_bytes: int, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write planned captures as archives of about ``archive_bytes``, each one sorted run."""
-    captures.sortWithinPartitions("url_key", "captured", "page_id").select(record().alias("value")).write.option("lineSep", "\r\n\r\n").option(
-        "maxRecordsPerFile", max(1, archive_bytes // (mean_bytes + 512))
-    ).option("compression", "gzip").text(path)
+def size_class(payload: Column) -> Column:
+    """0 for payloads of up to ``SMALL_PAGE`` bytes, one more for each factor of ``CLASS_FACTOR``; a null page is empty."""
+    bytes_ = F.octet_length(whole(payload))
+    bounds = [SMALL_PAGE * CLASS_FACTOR**k for k in range(4)]
+    return sum((F.when(bytes_ > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+
+
+def records_per_archive(pages: DataFrame, url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES, limit: int = ARCHIVE_LIMIT) -> dict[int, int]:
+    """Records that an archive of each size class may hold, in one pass over the sizes."""
+    # a line end in a URL is written as three bytes
+    size = F.octet_length(whole(F.col(f"`{html}`"))).cast("long") + 3 * F.octet_length(whole(F.col(f"`{url}`"))) + RECORD_HEAD
+    sizes = pages.groupBy(size_class(F.col(f"`{html}`")).alias("k")).agg(F.avg(size).alias("mean"), F.max(size).alias("most"))
+    return {r.k: int(max(1, min(archive_bytes // r.mean, limit // r.most))) for r in sizes.collect()}
+
+
+def write(captures: DataFrame, path: str, records: int) -> None:
+    """Add planned captures to a folder as archives of up to ``records`` records, each one sorted run."""
+    captures.sortWithinPartitions("url_key", "captured", "page_id").select(record().alias("value")).write.mode("append").option(
+        "lineSep", "\r\n\r\n"
+    ).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes):
@@ -243,6 +266,8 @@ def archive(pages: DataFrame, path: str | None = None, **columns) -> tuple[str,
     """Write all pages, read the archives back and merge their runs; the folder and the capture history."""
     spark = pages.sparkSession
     folder = path or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    mean = pages.agg(F.avg(F.octet_length(F.col(f"`{columns.get('html', 'html')}`")))).first()[0]
-    write(plan(pages, **columns), folder, int(mean or 0))
+    html = columns.get("html", "html")
+    limits = records_per_archive(pages, columns.get("url", "url"), html)
+    for k, records in sorted(limits.items()) or [(0, 1)]:
+        write(plan(pages.filter(size_class(F.col(f"`{html}`")) == k) if len(limits) > 1 else pages, **columns), folder, records)
     return folder, history(materialize(read(spark, folder)))
