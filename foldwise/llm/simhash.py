@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.graph import components
-from foldwise.llm.near_copies import keep_one  # noqa: F401
 from foldwise.llm.text import small_batches
 from foldwise.session import materialize
 
 BITS = 64
 SEED = 42
 FEW = 2048
+WORDS = 3
 LINK_TYPE = "a long, b long"
 
 
@@ -162,7 +162,14 @@ def linked(prints: DataFrame, fp: str = "fp", doc_id: str = "doc_id", max_bits:
     return named.join(least, "root").select("fp", "component_id", "n_docs")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, max_bits: int = 2, blocks: int = 5) -> DataFrame:
     """One row per document: its id, ``fp`` and ``component_id``."""
     prints = materialize(fingerprints(docs, {"fp": (words, False)}, text, (doc_id,)))
     return prints.join(linked(prints, "fp", doc_id, max_bits, blocks).drop("n_docs"), "fp")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies, found by linked fingerprints and an exact check (:mod:`near_copies`)."""
+    from foldwise.llm import near_copies
+
+    return near_copies.keep_one(docs, doc_id, text)
