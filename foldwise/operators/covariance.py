@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.expr import total
 from foldwise.operators import kernels
+from foldwise.operators.groups import per_group
 from foldwise.operators.moments import KEYS, window_matrix
 
 CELLS = [*KEYS, "i", "j", "v"]
@@ -118,10 +119,7 @@ def blend(pair: DataFrame, alpha: DataFrame) -> DataFrame:
 
 
 def _per_fold(cov: DataFrame, fn, columns, schema=MATRIX) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(key, pdf)
-
-    return cov.select(*columns).groupBy(*KEYS).applyInPandas(run, schema)
+    return per_group(cov.select(*columns), KEYS, fn, schema)
 
 
 def quadratic_inverse(cov: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.calendar import KEY, calendar, positions
 from foldwise.operators.folds import Design, covering_folds
+from foldwise.operators.groups import per_group
 from foldwise.operators.kernels import offdiagonal_norm
 
 TILE = 256
@@ -115,7 +116,7 @@ def co_moments(rows: DataFrame, keys, tile: int = TILE) -> DataFrame:
     t = tiled(rows, keys, tile)
     types = dict(t.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", i int, j int, n long, mi double, mj double, c double"
-    return t.groupBy(*keys, "ti", "tj").applyInPandas(product, schema)
+    return per_group(t, [*keys, "ti", "tj"], product, schema)
 
 
 def fold_covariance(rows: DataFrame, design: Design, segments=None, tile: int = TILE) -> DataFrame:
@@ -179,7 +180,7 @@ def offdiag_scores(rows: DataFrame, keys, variance_floor: float | None = None, t
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", r2 double, top double, c2 double, pairs long"
     pairs = F.sum("pairs")
     mean_root = lambda c: F.coalesce(F.sqrt(F.try_divide(F.sum(c), pairs)), F.lit(0.0))
-    return t.groupBy(*keys, "ti", "tj").applyInPandas(partial, schema).groupBy(*keys).agg(
+    return per_group(t, [*keys, "ti", "tj"], partial, schema).groupBy(*keys).agg(
         mean_root("r2").alias("s_f"), F.max("top").alias("s_inf"), mean_root("c2").alias("cov_offdiag_f")
     )
 
@@ -210,7 +211,7 @@ def window_spectrum(rows: DataFrame, keys) -> DataFrame:
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", effective_rank double, share_total double, cov_offdiag_spectral double, n_series long, offdiag_sum double, offdiag_sq double"
     )
-    return rows.select(*keys, "pos", "idx", "value").groupBy(*keys).applyInPandas(spectrum, schema)
+    return per_group(rows.select(*keys, "pos", "idx", "value"), keys, spectrum, schema)
 
 
 # ---- packed tile pairs ---------------------------------------------------------------------------
@@ -247,7 +248,7 @@ def tile_moments(rows: DataFrame, keys, tile: int = TILE) -> DataFrame:
     t = _paired(rows, keys, tile)
     types = dict(t.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "ti", "tj"]) + f", {PACKED}"
-    return t.groupBy(*keys, "ti", "tj").applyInPandas(product, schema)
+    return per_group(t, [*keys, "ti", "tj"], product, schema)
 
 
 def fold_tiles(rows: DataFrame, design: Design, segments=None, tile: int = TILE) -> DataFrame:
@@ -275,4 +276,4 @@ def fold_tiles(rows: DataFrame, design: Design, segments=None, tile: int = TILE)
 
     types = dict(parts.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in [*KEYS, "ti", "tj"]) + ", ids array<int>, n long, c array<double>"
-    return parts.groupBy(*KEYS, "ti", "tj").applyInPandas(added, schema).withColumn("tile", F.lit(tile))
+    return per_group(parts, [*KEYS, "ti", "tj"], added, schema).withColumn("tile", F.lit(tile))
