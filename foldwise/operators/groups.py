@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -55,4 +56,6 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFrame]
         if held:
             yield result(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    # by a hash of the keys: Spark drops a repartition by the columns that a join has dealt its rows by, and as
+    # mapInPandas asks for no distribution, it may then read the join's shuffle by mapper or in parts and cut groups
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInPandas(run, schema)

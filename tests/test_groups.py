@@ -38,3 +38,23 @@ def test_small_matrices_share_calls(spark):
     plan = out._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan
     assert {(r.i, r.j, round(r.v, 9), r.n) for r in out.groupBy("i", "j", "v").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 0, 1.2, 300), (1, 1, 1.2, 300), (0, 1, 0.3, 300)}
+
+
+def test_groups_of_joined_rows_are_whole(spark):
+    """The join turns into a broadcast while it runs, and its other side is read by mapper."""
+    setting = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in setting}
+    rows = spark.range(0, 60_000, 1, 8).select((F.col("id") % 50).alias("a"), (F.col("id") % 7).alias("v"))
+    joined = rows.join(rows.select("a").distinct().withColumn("k", F.lit(5)), "a")
+
+    def told(key, pdf):
+        return pd.DataFrame({"a": [key[0]], "n": [len(pdf)]})
+
+    try:
+        for k, v in setting.items():
+            spark.conf.set(k, v)
+        got = sorted((r.a, r.n) for r in per_group(joined, ["a"], told, "a long, n long").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(a, 1_200) for a in range(50)]
