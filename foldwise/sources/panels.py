@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,13 +103,38 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     (w.option("compression", "gzip") if gzip else w).csv(path)
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of each input file (files are hashed in the tasks)."""
+WHOLE = 128 << 20
+STREAMS = 4
+
+
+def _streamed_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any size, read through Spark's file systems with a buffer of 1 MB."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = jvm.java.io.BufferedInputStream(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at), 1 << 20)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
+    """Name, size and SHA-256 of each input file.
+
+    Files of up to ``whole`` bytes are hashed in the tasks, which hold a file as one cell.  A cell has at most
+    2 GB, and no Spark source gives a file's bytes in pieces; so larger files, whose hash is one chain over all
+    bytes in any case, go through a digest in the driver's JVM, a few at a time and a buffer of each.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    held = files.filter(F.col("length") <= whole).select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select(name, "length", "path").collect()
+    if not large:
+        return held
+    with ThreadPoolExecutor(STREAMS) as pool:
+        digests = list(pool.map(lambda r: _streamed_digest(spark, r.path), large))
+    rows = [(r.name, r.length, d) for r, d in zip(large, digests, strict=True)]
+    return held.unionByName(spark.createDataFrame(rows, "name string, size_bytes long, sha256 string"))
 
 
 def check_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
